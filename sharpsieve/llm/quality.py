@@ -1,7 +1,7 @@
 """Quality classifier: Naive Bayes support vectors (Wang and Manning, ACL 2012).
 
-Features are indicators of hashed n-grams: bytes (1 to 4), words and pairs of
-words. Each is scaled by its class log-count ratio; a linear hinge-loss model is
+Features are indicators of hashed n-grams: of bytes (1 to 4), of words (1 and 2), and
+of repeats (1 to 6: whether each word equals the one before). Each is scaled by its class log-count ratio; a linear hinge-loss model is
 fitted by dual coordinate descent (Hsieh et al., ICML 2008) on rows of unit length.
 Margins become probabilities by a logistic fit on margins of rows that the model of
 their fold hasn't seen.
@@ -38,7 +38,9 @@ def indicators(text: bytes) -> np.ndarray:
     for part in pieces(text, 512):
         for n in (1, 2, 3, 4):
             flags[byte_grams(part, n) >> _SHIFT] = True
-        for grams in word_grams(part.lower()):
+        words, pairs = word_grams(part.lower())
+        same = words[1:] == words[:-1]
+        for grams in (words, pairs, *(byte_grams(same.tobytes(), n) for n in range(1, 7))):
             flags[grams >> _SHIFT] = True
     return np.flatnonzero(flags)
 
@@ -61,11 +63,13 @@ class Model:
 
 
 def ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """Class log-count ratios of the indicators."""
-    counts = [np.full(1 << DIM_BITS, alpha) for _ in range(2)]
+    """Class log-count ratios of the indicators; 2 * alpha is dealt to the classes by their sizes, so what no row has gets 0."""
+    counts = [np.zeros(1 << DIM_BITS) for _ in range(2)]
     for ids, y in zip(rows, labels, strict=True):
         counts[int(y)][ids] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    sums = [max(c.sum(), 1e-9) for c in counts]
+    logs = [np.log((c + 2 * alpha * n / sum(sums)) / n) for c, n in zip(counts, sums, strict=True)]
+    return logs[1] - logs[0]
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, penalty: float = PENALTY, epochs: int = EPOCHS, seed: int = 0) -> tuple[np.ndarray, float]:

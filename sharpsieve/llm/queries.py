@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sharpsieve.llm import chat_format, decontam, line_dedup, mixing, quality, simhash
+from sharpsieve.llm import ann, chat_format, decontam, langid, licenses, line_dedup, maxent, mixing, quality, simhash
 from sharpsieve.llm.common import fold, table
 
 TEXT_OF_CHECK = "\\### Assistant: </turn> ok"
@@ -36,6 +36,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = maxent.score(table(spark, sf_dir, "documents"), learn=fold(F.col("doc_id"), 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
@@ -45,6 +58,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=fold(F.col("doc_id"), 4) != 2)
+    found = langid.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", TEXT_OF_CHECK), (-7, 1, "assistant", TEXT_OF_CHECK)], "conv_id long, turn long, role string, text string")
@@ -87,5 +107,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("prob", 9).alias("prob"), "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op6_decontamination, op7_simhash, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_lm_score, op4_license, op5_nearest, op6_decontamination, op7_simhash, op8_language, op9_chat_format, op10_mixing)}
 SQL = {"op1_line_dedup": OP1_SQL, "op9_chat_format": OP9_SQL, "op10_mixing": mixing.oracle()}
