@@ -6,8 +6,8 @@ kept, and the gaps between are aligned the same way. A template's coverage is th
 share of its words that are aligned; it is reported from `coverage` on. Where
 reports overlap in a text, the best stays (coverage, words aligned, name).
 
-Where to look is exact: a template's seeds are its least common words over all
-templates, as many as it takes that the other words alone can't reach the coverage.
+Where to look is exact: a template's seeds are its least common words (function words
+last, then by templates that have them, longer ones first), as many as it takes that the other words alone can't reach the coverage.
 So an alignment that counts holds a seed. Around each seed's occurrences windows are
 aligned whose words could reach the coverage at all (a bag-of-words bound).
 
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from sharpsieve.llm.common import decoded
 
 COVERAGE = 0.8
+#: Words that are seeds only if nothing else is left.
+COMMON = frozenset("a all an and any are as at be by can file for free from have if in is it its may no not of on one or other out see that the this to under use with without work you your".split())
 _word = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 #: Texts of licenses and the notices that stand for them.
@@ -138,7 +140,7 @@ class Scanner:
         for name, own in self.templates.items():
             held, left = Counter(own), len(own)
             chosen: set[str] = set()
-            for x in sorted(held, key=lambda x: (common[x], -len(x), x)):
+            for x in sorted(held, key=lambda x: (x in COMMON, common[x], -len(x), x)):
                 if left < coverage * len(own):
                     break
                 chosen.add(x)

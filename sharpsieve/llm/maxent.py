@@ -234,12 +234,12 @@ def _updates(ready: DataFrame, weights: np.ndarray, part: int, rounds: int, rate
 
     names = ["place", "task", "delta", "n"]
 
-    def add(key, got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key, got):
         delta, n = 0.0, 0
-        for batch in got:
-            for record in batch.to_pylist():
-                delta, n = delta + _row(record, "delta", np.float32).astype(np.float64), n + _row(record, "n", np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([delta.astype(np.float32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+        for record in got.to_pylist():
+            delta, n = delta + _row(record, "delta", np.float32).astype(np.float64), n + _row(record, "n", np.int64)
+        row = [[key[0].as_py()], [key[1].as_py()], [delta.astype(np.float32).tobytes()], [n.tobytes()]]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     schema = "place int, task long, delta binary, n binary"
     found, width = ready.mapInArrow(run, schema), ready.rdd.getNumPartitions()
@@ -285,7 +285,7 @@ def score(
     class_n, class_v = (np.array([got[k][x] if k in got else 0.0 for k in range(n_classes)]) for x in ("n", "v"))
 
     # each block gets the corpus counts of its vocabulary, and its words' classes and hashes instead of the words
-    known = words.select("block", "place", "word").join(counts, "word").select("block", "place", "c")
+    known = words.select("block", "place", "word").join(counts, "word").select(F.col("block").alias("at"), "place", "c")
     schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, c binary, classes binary, hashes binary"
 
     def ready_block(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -299,7 +299,7 @@ def score(
         return pa.Table.from_arrays([*(left.column(x).cast(kinds[x]) for x in ("ids", "learned", "lengths", "tokens")), *more], names=list(kinds))
 
     kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())} | dict.fromkeys(("tokens", "c", "classes", "hashes"), pa.binary())
-    ready = scratch.write(blocks.drop("counts").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ready_block, schema), "ready")
+    ready = scratch.write(blocks.drop("counts").groupBy("block").cogroup(known.groupBy("at")).applyInArrow(ready_block, schema), "ready")
     scratch.drop("blocks")
 
     weights = np.zeros((len(TABLES), ROWS, n_classes), np.float32)

@@ -4,10 +4,11 @@ Each of three marginals (source, language, topic) has a dict of target shares; a
 value that isn't in its dict, or is null, belongs to the category "*" (share 0
 if the dict doesn't name it). So the table of cells has at most the product of
 the dicts' sizes plus one each, whatever the data: it alone goes to the driver.
-Shares of a marginal are taken relative to the categories that hold tokens. The
-raked weight of a cell divided by its tokens, scaled so that the largest
-probability is at most 1 and the expected tokens are at most `fraction` of all,
-is each document's probability. Documents are drawn by a hash of seed and id.
+Shares of a marginal are taken relative to the categories that hold tokens. A
+document's probability is its cell's raked weight divided by the cell's tokens, times
+one factor for all, and 1 at most; the factor is such that the expected tokens are
+`fraction` of all. A cell with too few tokens for its weight is taken whole, and what
+it lacks is spread over the others. Documents are drawn by a hash of seed and id.
 
 Defined results: null text has 0 tokens; documents of a cell without tokens or
 with target 0 get probability 0; equal ids get equal draws, a null id is drawn by
@@ -65,6 +66,17 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, to
     return fitted
 
 
+def probabilities(tokens: np.ndarray, share: np.ndarray, fraction: float) -> np.ndarray:
+    """min(1, factor * share / tokens) for each cell, with expected tokens of `fraction` of all, or all of the cells with a share if they hold less."""
+    rate = np.divide(share, tokens, out=np.zeros_like(share), where=tokens > 0)
+    order = np.argsort(-rate, axis=None, kind="stable")
+    order = order[rate.ravel()[order] > 0]
+    own, weight, steep = tokens.ravel()[order], share.ravel()[order], rate.ravel()[order]
+    factor = (fraction * tokens.sum() - (np.cumsum(own) - own)) / np.cumsum(weight[::-1])[::-1]  # if all cells before are taken whole
+    fits = np.flatnonzero(factor * steep <= 1)
+    return np.where(rate > 0, np.minimum(1.0, rate * factor[fits[0]]) if len(fits) else 1.0, 0.0)
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -90,10 +102,8 @@ def mix(
     for *cell, n in grouped.groupBy(*keys).agg(F.sum(names["n_tokens"]).alias("n")).collect():
         tokens[tuple(c.index(v) for c, v in zip(cats, cell, strict=True))] = n
     share = rake(tokens, [np.array([w[x] for x in c], dtype=float) for c, w in zip(cats, wanted, strict=True)], rounds)
-    rate = np.divide(share, tokens, out=np.zeros_like(share), where=tokens > 0)
-    most = rate.max(initial=0.0)
-    budget = min(fraction * tokens.sum(), 1 / most) if most > 0 else 0.0
-    cells = [(*(c[i] for c, i in zip(cats, at, strict=True)), float(share[at]), min(1.0, float(rate[at] * budget))) for at in np.ndindex(*tokens.shape)]
+    prob = probabilities(tokens, share, fraction)
+    cells = [(*(c[i] for c, i in zip(cats, at, strict=True)), float(share[at]), float(prob[at])) for at in np.ndindex(*tokens.shape)]
     spark = docs.sparkSession
     rates = spark.createDataFrame(cells, ", ".join(f"`{k}` string" for k in (*keys,)) + f", `{names['weight']}` double, `{names['prob']}` double")
     text_id = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))))
@@ -135,8 +145,11 @@ def oracle(sources=SOURCES, langs=LANGS, topics=TOPICS, fraction=FRACTION, seed=
         for m in "slt":
             steps.append(f"f{k + 1} AS MATERIALIZED (SELECT s, l, t, CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * g.v / sum(w) OVER (PARTITION BY {m}) ELSE 0 END AS w FROM f{k} JOIN goal_{m} g ON g.k = f{k}.{m})")
             k += 1
-    steps.append(f"r AS (SELECT s, l, t, w, w / n AS rate FROM f{k} JOIN c USING (s, l, t))")
-    steps.append(f"p AS (SELECT s, l, t, w, least(1, rate * least({fraction} * (SELECT sum(n) FROM c), 1 / (SELECT max(rate) FROM r))) AS p FROM r)")
+    steps.append(f"r AS (SELECT s, l, t, w, n, w / n AS rate FROM f{k} JOIN c USING (s, l, t))")
+    order = "ORDER BY rate DESC, s, l, t ROWS BETWEEN"
+    steps.append(f"x AS (SELECT *, ({fraction} * (SELECT sum(n) FROM c) - coalesce(sum(n) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM r WHERE rate > 0)")
+    steps.append("y AS (SELECT first(factor ORDER BY rate DESC, s, l, t) AS factor FROM x WHERE factor * rate <= 1)")
+    steps.append("p AS (SELECT s, l, t, w, CASE WHEN rate > 0 THEN least(1, coalesce(rate * (SELECT factor FROM y), 1)) ELSE 0 END AS p FROM r)")
     return (
         "WITH " + ",\n".join(steps) + " SELECT d.doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, d.n::BIGINT AS n_tokens, round(coalesce(p.w, 0), 9) AS weight, round(coalesce(p.p, 0), 9) AS prob, "
         f"('0x' || substr(md5('{seed}|' || d.doc_id), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(p.p, 0) AS selected FROM d LEFT JOIN p USING (s, l, t)"

@@ -32,9 +32,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sharpsieve.llm.common import Scratch, encoded
+from sharpsieve.llm.common import Scratch, encoded, free_name
 from sharpsieve.llm.components import components
 
 SEED, BITS, RADIUS, SHINGLE, BUCKET = 42, 64, 3, 3, 2048
@@ -64,15 +65,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (as a signed long): a row for each document."""
+    """id, th (hash of the text), fp (as a signed long): a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in encoded(batches):
             fps = np.array([fingerprint(x, shingle) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"id {kind}, th bigint, fp bigint")
 
 
 def masks(radius: int = RADIUS, free: int = ALL) -> list[int]:
@@ -144,13 +146,28 @@ def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bucket
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """id, fp (signed long), component_id: a row for each document."""
+    """id, th, fp (signed long), component_id, first_th: a row for each document; component_id and first_th name the component's first row."""
     scratch = Scratch(docs.sparkSession)
     marked = scratch.write(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fps")
-    least = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    least = scratch.write(marked.groupBy("fp").agg(F.min(place).alias("least")), "least")
     roots = components(links(least.select("fp"), scratch, radius=radius, bucket=bucket), scratch)
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.write(named, "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = scratch.write(named.join(ids, "root").select("fp", "component_id"), "of")
-    return marked.join(of, "fp").select("id", "fp", "component_id")
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    of = scratch.write(named.join(first, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.th").alias("first_th")), "of")
+    return marked.join(of, "fp").select("id", "th", "fp", "component_id", "first_th")
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, unchanged: the first by id (nulls last), then by the text's hash, then by the other columns."""
+    found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th"))).select(F.col("id").alias("_first_id"), F.col("th").alias("_first_th")).distinct()
+    none, value, text = free_name(docs, "none"), free_name(docs, "value"), free_name(docs, "th")
+    keyed = docs.withColumns({none: F.col(id_col).isNull(), value: F.xxhash64(id_col), text: F.xxhash64(text_col)})
+    keys = first.select(F.col("_first_id").isNull().alias("_none"), F.xxhash64("_first_id").alias("_value"), F.col("_first_th").alias("_text"))
+    kept = keyed.join(keys, (keyed[none] == keys["_none"]) & (keyed[value] == keys["_value"]) & (keyed[text] == keys["_text"]), "left_semi")
+    others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith(("map", "variant"))]
+    number = free_name(docs, "number")
+    once = kept.withColumn(number, F.row_number().over(W.partitionBy(none, value, text).orderBy(id_col, *others))).where(F.col(number) == 1)
+    return once.select(*docs.columns)
