@@ -390,11 +390,11 @@ def focus_record_box(spark, sf):
     return e.select("event_id", boxes.from_focus_record(record).alias("b")).select("event_id", *[F.round(F.col(f"b.{k}"), 6).alias(k) for k in "xywh"])
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch(date_trunc('second', ts))::BIGINT END AS seconds FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch(date_trunc('second', ts))::DOUBLE END AS seconds FROM events""")
 def capture_time(spark, sf):
     """Times written as cameras do, some of them not times at all."""
     said = F.when(F.col("event_id") % 11 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("ts", "yyyy:M:dd HH:m:ss"))
-    return table(spark, sf, "events").select("event_id", capture.epoch(said).alias("seconds"))
+    return table(spark, sf, "events").select("event_id", capture.epoch(said).cast("double").alias("seconds"))
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'manual' WHEN event_id % 3 = 1 AND value > 50 THEN 'saliency' ELSE 'zone:left-third' END AS source,
@@ -423,20 +423,20 @@ def pages(spark, sf) -> DataFrame:
 _NAME = "split_part(lower(url), '/', -1)"
 
 
-@query("SELECT page_id, url, (SELECT max(q.page_id) FROM pages q WHERE q.page_id % 3 = 0 AND lower(q.url) = lower(p.url)) AS focus FROM pages p")
+@query("SELECT page_id, url, (SELECT max(q.page_id) FROM pages q WHERE q.page_id % 3 = 0 AND lower(q.url) = lower(p.url))::DOUBLE AS focus FROM pages p")
 def af_path_join(spark, sf):
     """Each third page has a record under its path in capitals; without the fallback by name."""
     records = pages(spark, sf).where(F.col("page_id") % 3 == 0).select(F.upper("url").alias("SourceFile"), F.col("page_id").alias("v"))
     keyed = records.groupBy(paths.key(F.col("SourceFile")).alias("k")).agg(F.max("v").alias("focus"))
-    return pages(spark, sf).join(keyed, paths.key(F.col("url")) == F.col("k"), "left").select("page_id", "url", "focus")
+    return pages(spark, sf).join(keyed, paths.key(F.col("url")) == F.col("k"), "left").select("page_id", "url", F.col("focus").cast("double").alias("focus"))
 
 
 @query(f"""WITH r AS (SELECT lower(url) AS u, {_NAME} AS name, max(page_id) AS v FROM pages WHERE page_id % 2 = 0 GROUP BY ALL), s AS (SELECT name, max(v) AS v FROM r GROUP BY name HAVING count(*) = 1)
-SELECT p.page_id, coalesce(r.v, s.v) AS focus FROM pages p LEFT JOIN r ON r.u = lower(p.url) LEFT JOIN s ON s.name = split_part(lower(p.url), '/', -1)""")
+SELECT p.page_id, coalesce(r.v, s.v)::DOUBLE AS focus FROM pages p LEFT JOIN r ON r.u = lower(p.url) LEFT JOIN s ON s.name = split_part(lower(p.url), '/', -1)""")
 def af_unique_basename(spark, sf):
     """By path, else by file name where one record only has it."""
     records = pages(spark, sf).where(F.col("page_id") % 2 == 0).select(F.col("url").alias("SourceFile"), F.col("page_id").alias("v"))
-    return locate.join_by_path(pages(spark, sf), records, "v", path_col="url", out="focus").select("page_id", "focus")
+    return locate.join_by_path(pages(spark, sf), records, "v", path_col="url", out="focus").select("page_id", F.col("focus").cast("double").alias("focus"))
 
 
 _PARTS = "list_filter(string_split(lower(url), '/'), lambda x: x <> '')"
@@ -445,12 +445,12 @@ _PARTS = "list_filter(string_split(lower(url), '/'), lambda x: x <> '')"
 @query(f"""WITH t AS (SELECT page_id, {_PARTS} AS p FROM pages), e AS (SELECT array_to_string(p[-(1 + page_id % 3):], '/') AS key, max(page_id) AS v FROM t WHERE page_id % 5 = 0 GROUP BY 1),
 x AS (SELECT page_id, d, array_to_string(p[-d:], '/') AS key FROM (SELECT page_id, p, unnest(range(1, least(len(p), 8) + 1)) AS d FROM t)),
 b AS (SELECT page_id, arg_max(v, d) AS v FROM x JOIN e USING (key) GROUP BY page_id)
-SELECT page_id, b.v AS box FROM pages LEFT JOIN b USING (page_id)""")
+SELECT page_id, b.v::DOUBLE AS box FROM pages LEFT JOIN b USING (page_id)""")
 def longest_suffix_match(spark, sf):
     """Each fifth page gives an entry under its last one to three path parts."""
     parts = paths.components(F.col("url"))
     entries = pages(spark, sf).where(F.col("page_id") % 5 == 0).select(F.array_join(F.slice(parts, -F.least(1 + F.col("page_id") % 3, F.size(parts)).cast("int"), 8), "/").alias("key"), F.col("page_id").alias("v"))
-    return locate.join_by_longest_suffix(pages(spark, sf), entries, "v", idx_col="page_id", path_col="url", out="box").select("page_id", "box")
+    return locate.join_by_longest_suffix(pages(spark, sf), entries, "v", idx_col="page_id", path_col="url", out="box").select("page_id", F.col("box").cast("double").alias("box"))
 
 
 @query(f"SELECT page_id, row_number() OVER (ORDER BY list_filter(string_split(url, '/'), lambda x: x <> ''), page_id)::INTEGER - 1 AS place FROM pages")
@@ -486,13 +486,18 @@ _RUNS = """WITH x AS (SELECT '/lib/' || doc_id AS key, 'DSC_' || doc_id % 50 ||
 y AS (SELECT '/lib/' || doc_id AS key, 'DSC_' || doc_id % 50 || '.NEF' AS filename, quality * 4 - toxic AS rating, doc_id AS idx FROM labels),
 bx AS (SELECT *, CASE WHEN rating IS NULL THEN 'unrated' WHEN rating >= 4 THEN 'keeper' WHEN rating <= 2 THEN 'reject' ELSE 'middle' END AS b FROM x),
 by_ AS (SELECT *, CASE WHEN rating IS NULL THEN 'unrated' WHEN rating >= 4 THEN 'keeper' WHEN rating <= 2 THEN 'reject' ELSE 'middle' END AS b FROM y),
-ch AS (SELECT key AS path, by_.filename, bx.rating::INTEGER AS "from", by_.rating::INTEGER AS "to", (coalesce(by_.rating, 0) - coalesce(bx.rating, 0))::INTEGER AS delta, bx.b || ' -> ' || by_.b AS transition, idx
+ch AS (SELECT key AS path, by_.filename, bx.rating::DOUBLE AS "from", by_.rating::DOUBLE AS "to", (coalesce(by_.rating, 0) - coalesce(bx.rating, 0))::INTEGER AS delta, bx.b || ' -> ' || by_.b AS transition, idx
   FROM bx JOIN by_ USING (key) WHERE bx.rating IS DISTINCT FROM by_.rating)"""
 
 
+def _as_doubles(moved: DataFrame) -> DataFrame:
+    """Ratings can be missing; as doubles they compare alike everywhere."""
+    return moved.withColumns({c: F.col(c).cast("double") for c in ("from", "to")})
+
+
 @query(f'{_RUNS} SELECT path, filename, "from", "to", delta, transition FROM ch')
 def compare_inner(spark, sf):
-    return compare.changes(two_runs(spark, sf)).drop("because", "idx")
+    return _as_doubles(compare.changes(two_runs(spark, sf)).drop("because", "idx"))
 
 
 @query(f"{_RUNS} SELECT key FROM x WHERE key NOT IN (SELECT key FROM y)")
@@ -517,7 +522,7 @@ def compare_movement(spark, sf):
 
 @query(f'{_RUNS} SELECT path, filename, "from", "to", delta FROM ch ORDER BY abs(delta) DESC, filename, idx LIMIT 20')
 def compare_top_movers(spark, sf):
-    return compare.top_movers(two_runs(spark, sf), 20).select("path", "filename", "from", "to", "delta")
+    return _as_doubles(compare.top_movers(two_runs(spark, sf), 20).select("path", "filename", "from", "to", "delta"))
 
 
 @query(f"""{_RUNS} SELECT path, CASE WHEN count(*) OVER (PARTITION BY filename) > 1 THEN array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[-2:], '/') ELSE filename END AS name FROM ch""")
