@@ -12,6 +12,7 @@ from typing import Any
 from sharpsieve.errors import ConfigError
 
 FILE_NAME = "sharpsieve.toml"
+#: Suffixes of raw and of plain images.
 RAW = frozenset(".nef .nrw .cr2 .cr3 .arw .srf .sr2 .dng .raf .rw2 .orf .pef".split())
 PLAIN = frozenset(".jpg .jpeg .png .tif .tiff .webp .bmp".split())
 DETECTORS = ("manual", "af-point", "face", "saliency", "zone", "none")
@@ -115,7 +116,7 @@ def _rules(value: Any) -> tuple[Rule, ...]:
 
 
 _fraction, _positive = _number(float, 0, 1), _number(int, 0, above=True)
-#: Every section's keys, with default and check.
+#: Every section's keys, with default (fixed values) and check.
 SECTIONS: dict[str, dict[str, tuple[Any, Callable[[Any], Any]]]] = {
     "input": {"working_edge": (1024, _positive), "thumbnail_edge": (320, _positive), "recursive": (True, _flag), "prefer_raw_decode": (False, _flag), "include_suffixes": ((), _suffixes)},
     "sharpness": {"grid_long_edge": (24, _positive), "sharp_fraction_threshold": (0.5, _fraction), "sharp_acutance": (40.0, _number(float, 0, above=True)), "min_background_acutance": (2.0, _number(float, 0))},

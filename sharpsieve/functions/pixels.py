@@ -37,19 +37,33 @@ def _averages(n_in: int, n_out: int) -> np.ndarray:
     return overlap / overlap.sum(axis=1, keepdims=True)
 
 
+def _shrunk(values: np.ndarray, n_out: int) -> np.ndarray:
+    """Means along the first axis over n_out equal spans, cells at the edges by their share."""
+    n_in = values.shape[0]
+    if n_out == n_in:
+        return values.astype(np.float64)
+    if n_out > n_in:
+        return np.tensordot(_averages(n_in, n_out), values, axes=1)
+    edges = np.arange(n_out + 1) * (n_in / n_out)
+    whole = np.minimum(edges.astype(int), n_in)
+    part = (edges - whole).reshape(-1, *[1] * (values.ndim - 1))
+    sums = np.add.reduceat(values, whole[:-1], axis=0, dtype=np.float64)
+    beyond = np.concatenate((values, values[-1:]))[whole]
+    return (sums - part[:-1] * beyond[:-1] + part[1:] * beyond[1:]) * (n_out / n_in)
+
+
 def resize(values: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area means; the last axis may be channels."""
-    rows, cols = _averages(values.shape[0], height), _averages(values.shape[1], width)
-    return np.einsum("ij,jk...->ik...", rows, np.einsum("kj,ij...->ik...", cols, values.astype(np.float64)))
+    rows = _shrunk(values, height)
+    return _shrunk(rows.swapaxes(0, 1), width).swapaxes(0, 1)
 
 
 def luma(rgb: np.ndarray, working_edge: int) -> np.ndarray:
-    """Brightness from 0 to 1 at the working size; never enlarged."""
+    """Brightness from 0 to 1 at the working size; never enlarged. Weights first: the mean of brightness is the brightness of the mean."""
     h, w = rgb.shape[:2]
+    y = (rgb @ WEIGHTS) / np.float32(255)
     scale = working_edge / max(h, w)
-    if scale < 1:
-        rgb = np.rint(resize(rgb, max(1, round(h * scale)), max(1, round(w * scale))))
-    return (rgb.astype(np.float32) / 255) @ WEIGHTS
+    return resize(y, max(1, round(h * scale)), max(1, round(w * scale))).astype(np.float32) if scale < 1 else y
 
 
 def laplacian(y: np.ndarray) -> np.ndarray:

@@ -35,6 +35,21 @@ def join_by_longest_suffix(frames: DataFrame, entries: DataFrame, value: str, *,
     return frames.join(best, F.col(idx_col) == F.col("_idx"), "left").drop("_idx")
 
 
+#: What notes say of a box, and of its absence.
+NOTES = {
+    "zone": "fixed region; an assumption about composition, not a measurement",
+    "none": "subject detection disabled",
+    "manual": "drawn by hand",
+    "manual missing": "no hand-drawn box for this file",
+    "af-point": "where the camera was told to focus",
+    "af-point missing": "no autofocus coordinates recorded for this frame",
+    "saliency": "statistical salience, not a recognised object",
+    "saliency missing": "no region stood out from the background",
+    "saliency too large": "salient region covers the whole frame",
+    "chain missing": "no detector produced a subject",
+}
+
+
 @dataclass
 class Candidate:
     """One detector's answer: a box (struct or null), what to say of it, and why there is none. unavailable: a reason for all frames."""
@@ -65,33 +80,33 @@ def chain(candidates: Sequence[Candidate]) -> Column:
         picked = F.when(c.box.isNotNull(), found) if picked is None else picked.when(c.box.isNotNull(), found)
         why = F.coalesce(F.lit(c.missing) if isinstance(c.missing, str) else c.missing, F.lit("nothing found"))
         trail.append(F.concat(F.lit(f"{c.name}: "), why))
-    all_told = F.concat_ws("; ", *trail) if trail else F.lit("no detector produced a subject")
+    all_told = F.concat_ws("; ", *trail) if trail else F.lit(NOTES["chain missing"])
     nothing = F.struct(none.alias("box"), F.lit("none").alias("source"), F.lit("none").alias("confidence"), all_told.alias("note"))
     return nothing if picked is None else picked.otherwise(nothing)
 
 
 def zone_candidate(name: str) -> Candidate:
-    return Candidate("zone", boxes.struct(boxes.zone(name)), "low", "fixed region; an assumption about composition, not a measurement", source=f"zone:{name}")
+    return Candidate("zone", boxes.struct(boxes.zone(name)), "low", NOTES["zone"], source=f"zone:{name}")
 
 
 def null_candidate() -> Candidate:
-    return Candidate("none", F.lit(None).cast(BOX), missing="subject detection disabled")
+    return Candidate("none", F.lit(None).cast(BOX), missing=NOTES["none"])
 
 
 def manual_candidate(box: Column, unavailable: str | None = None) -> Candidate:
     clipped = F.when(box.isNotNull(), boxes.struct(boxes.clip(boxes.of(box))))
-    return Candidate("manual", clipped, "high", "drawn by hand", "no hand-drawn box for this file", unavailable=unavailable)
+    return Candidate("manual", clipped, "high", NOTES["manual"], NOTES["manual missing"], unavailable=unavailable)
 
 
 def focus_candidate(box: Column, orientation: Column, unavailable: str | None = None) -> Candidate:
     turned = F.when(box.isNotNull(), boxes.struct(boxes.reorient(boxes.of(box), orientation)))
-    return Candidate("af-point", turned, "high", "where the camera was told to focus", "no autofocus coordinates recorded for this frame", unavailable=unavailable)
+    return Candidate("af-point", turned, "high", NOTES["af-point"], NOTES["af-point missing"], unavailable=unavailable)
 
 
 def saliency_candidate(box: Column, most_area: float = 0.75) -> Candidate:
     covers = F.when(box.isNotNull(), boxes.area(boxes.of(box)) > most_area)
-    missing = F.when(covers, "salient region covers the whole frame").otherwise("no region stood out from the background")
-    return Candidate("saliency", F.when(~covers, box), "low", "statistical salience, not a recognised object", missing)
+    missing = F.when(covers, NOTES["saliency too large"]).otherwise(NOTES["saliency missing"])
+    return Candidate("saliency", F.when(~covers, box), "low", NOTES["saliency"], missing)
 
 
 def face_candidate(box: Column | None = None, eyes: Column | None = None) -> Candidate:

@@ -403,7 +403,7 @@ CASE WHEN event_id % 3 = 0 THEN 'drawn by hand [after af-point unavailable (no t
 WHEN event_id % 3 = 1 AND value > 50 THEN 'statistical salience, not a recognised object [after af-point unavailable (no tool); manual: no hand-drawn box for this file]'
 ELSE 'fixed region; an assumption about composition, not a measurement [after af-point unavailable (no tool); manual: no hand-drawn box for this file; saliency: ' ||
 CASE WHEN event_id % 3 = 1 THEN 'salient region covers the whole frame' ELSE 'no region stood out from the background' END || ']' END AS note,
-CASE WHEN event_id % 3 = 0 THEN 0.5 WHEN event_id % 3 = 1 AND value > 50 THEN 0.25 ELSE {ZONES["left-third"][0]} END AS x FROM events""")
+(CASE WHEN event_id % 3 = 0 THEN 0.5 WHEN event_id % 3 = 1 AND value > 50 THEN 0.25 ELSE {ZONES["left-third"][0]} END)::DOUBLE AS x FROM events""")
 def detector_chain(spark, sf):
     k, none = F.col("event_id") % 3, F.lit(None)
     hand = F.when(k == 0, boxes.struct(boxes.literal(0.5, 0.5, 0.2, 0.2)))

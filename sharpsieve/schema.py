@@ -31,7 +31,7 @@ REPORT = {
 }
 REPORT_DDL = ", ".join(f"{k} {v}" for k, v in REPORT.items())
 
-#: Columns that lead the spreadsheet; the others follow by name.
+#: Columns that lead the spreadsheet; the others follow by name.
 LEAD = (
     "filename", "rating", "group_id", "group_rank", "group_size", "is_group_best", "subject_source", "subject_acutance", "background_acutance",
     "subject_background_ratio", "max_local_acutance", "sharp_fraction", "likely_cause", "highlight_clipped",

@@ -8,12 +8,15 @@ Whatever fails becomes a row with an error.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sharpsieve.config import RAW, Config
 from sharpsieve.errors import SieveError, UnreadableImage
@@ -61,73 +64,83 @@ def _exif(source: Source) -> dict:
         return capture_fields({})
 
 
+def _schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def read_headers(files: DataFrame, previews: str) -> DataFrame:
     """A row for each file with what its header says and where its pixels are to be read; previews: a shared folder for embedded JPEGs."""
-    names = [x.split()[0] for x in HEADERS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                row = {"file_idx": r.file_idx, "path": r.path, "filename": r.filename, "pixels_at": r.path}
-                try:
-                    fields, preview = header(r.path, r.suffix)
-                    row |= fields
-                    if preview is not None:
-                        row["pixels_at"] = f"{previews}/{r.file_idx:012d}.jpg"
-                        store, place = pafs.FileSystem.from_uri(row["pixels_at"])
-                        with store.open_output_stream(place) as out:
-                            out.write(preview)
-                except SieveError as error:
-                    row["error"] = f"{r.filename}: {error}"
-                except Exception as error:  # a corrupt file is a row, not the end
-                    row["error"] = f"unexpected failure: {error!r}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=names).astype({k: "Int64" for k in ("iso", "orientation", "declared_width", "declared_height")})
-
-    return files.mapInPandas(run, HEADERS)
+
+    def one(path: str, filename: str, suffix: str, file_idx: int) -> dict:
+        row = {"file_idx": file_idx, "path": path, "filename": filename, "pixels_at": path}
+        try:
+            fields, preview = header(path, suffix)
+            row |= {k: v for k, v in fields.items() if k not in row}
+            if preview is not None:
+                row["pixels_at"] = f"{previews}/{file_idx:012d}.jpg"
+                store, place = pafs.FileSystem.from_uri(row["pixels_at"])
+                with store.open_output_stream(place) as out:
+                    out.write(preview)
+        except SieveError as error:
+            row["error"] = f"{filename}: {error}"
+        except Exception as error:  # a corrupt file is a row, not the end
+            row["error"] = f"unexpected failure: {error!r}"
+        return row
+
+    schema = _schema(HEADERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one(**r) for r in batch.to_pylist()], schema=schema)
+
+    return files.mapInArrow(run, HEADERS)
 
 
 def measure(images: DataFrame, config: Config) -> DataFrame:
     """images: file_idx, orientation, image (of Spark's source; null or of no size if it couldn't be decoded). One row each, MEASURED."""
     c = config
 
-    def one(row) -> dict:
-        rgb = pixels.from_spark_image(row.height, row.width, row.channels, row.data)
-        rgb = pixels.orient(rgb, None if pd.isna(row.orientation) else int(row.orientation))
+    def one(row: dict) -> dict:
+        rgb = pixels.orient(pixels.from_spark_image(row["height"], row["width"], row["channels"], row["data"]), row["orientation"])
         y = pixels.luma(rgb, c.input.working_edge)
         tiles = pixels.tile_map(y, c.sharpness.grid_long_edge)
         jxx, jyy, jxy = pixels.structure_tensor(y)
         box = pixels.saliency_box(y)
         return pixels.exposure(y, c.exposure.percentile) | {
-            "frame_width": row.width, "frame_height": row.height, "tile_rows": tiles.shape[0], "tile_cols": tiles.shape[1], "tiles": tiles.ravel().tolist(),
+            "frame_width": row["width"], "frame_height": row["height"], "tile_rows": tiles.shape[0], "tile_cols": tiles.shape[1], "tiles": tiles.ravel().tolist(),
             "jxx": jxx, "jyy": jyy, "jxy": jxy, "salient": dict(zip("xywh", box, strict=True)) if box else None,
             "fingerprint": pixels.difference_hash(y, c.grouping.hash_size) if c.grouping.enabled else None, "thumbnail": pixels.thumbnail(rgb, c.input.thumbnail_edge),
         }
 
-    names = [x.split()[0] for x in MEASURED.replace("struct<x:double,y:double,w:double,h:double>", "struct").split(", ")]
+    schema = _schema(MEASURED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):  # a frame at a time: memory is one frame's
-                out = dict.fromkeys(names) | {"file_idx": row.file_idx}
-                if row.data is None or not len(row.data) or not row.width or row.width <= 0:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a frame at a time: memory is one frame's
+                row = batch.slice(i, 1).to_pylist()[0]
+                out = {"file_idx": row["file_idx"]}
+                if not row["data"] or not row["width"] or row["width"] <= 0:
                     out["error"] = "the image would not decode"
                 else:
                     try:
                         out |= one(row)
                     except Exception as error:
                         out["error"] = f"unexpected failure: {error!r}"
-                frame = pd.DataFrame([out], columns=names)
-                yield frame.astype({k: "Int64" for k in ("frame_width", "frame_height", "tile_rows", "tile_cols")})
+                yield pa.RecordBatch.from_pylist([out], schema=schema)
 
     flat = images.select("file_idx", "orientation", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
-    return flat.mapInPandas(run, MEASURED)
+    return flat.mapInArrow(run, MEASURED)
 
 
 def plain_path(column: str) -> Column:
-    """A path without its scheme: the sources spell it in different ways."""
-    return F.regexp_replace(F.regexp_replace(column, r"^file:/+", "/"), r"%20", " ")
+    """A path without its scheme; what Spark read comes as an encoded URI."""
+    decoded = F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+    return F.when(F.startswith(F.col(column), F.lit("file:")), F.regexp_replace(decoded, r"^file:/+", "/")).otherwise(F.col(column))
+
+
+def _literal(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
 def read_frames(files: DataFrame, config: Config) -> DataFrame:
@@ -140,7 +153,7 @@ def read_frames(files: DataFrame, config: Config) -> DataFrame:
     headers = scratch.write(read_headers(files, previews), "headers")
     wanted = [r.pixels_at for r in headers.where("error is null").select("pixels_at").toLocalIterator()]
     if wanted:
-        decoded = spark.read.format("image").option("dropInvalid", False).load(wanted).select("image")
+        decoded = spark.read.format("image").option("dropInvalid", False).load([_literal(p) for p in wanted]).select("image")
         decoded = decoded.withColumn("_key", plain_path("image.origin"))
         joined = headers.where("error is null").withColumn("_key", plain_path("pixels_at")).join(decoded, "_key", "left")
         measured = scratch.write(measure(joined, config), "measured")
