@@ -4,8 +4,8 @@ A text's vector: hashed byte n-grams (1 to 4) of its lower-cased letters, each
 log(1 + count) times the feature's inverse document frequency, at unit length.
 Document frequencies are counted over all learned documents. Each language gets up
 to `centroids` centroids by spherical k-means on a bounded sample of its documents
-(`per_lang` in expectation, drawn by hash; the `max_langs` most frequent language
-values are learned). A text gets the language of the centroid of largest cosine,
+(`per_lang` in expectation, drawn by a hash of id and text; the `max_langs` most
+frequent language values are learned), in a task for each language. A text gets the language of the centroid of largest cosine,
 and is `rejected` if it is farther than nearly all of that centroid's own members.
 
 Defined results: null texts and texts without a letter get `und`, score 0 and
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,11 +110,11 @@ def _frequencies(learned: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(
-    docs: DataFrame, *, learn: Column | None = None, centroids: int = CENTROIDS, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, *, learn: Column | None = None, centroids: int = CENTROIDS, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
 ) -> Model:
     """learn: which rows of docs may be learned (default: all)."""
     learned = (docs if learn is None else docs.where(learn)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    learned = learned.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    learned = learned.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     per = {r._lang: r.n for r in learned.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(max_langs).collect()}
     seen, n = _frequencies(learned)
     model = Model(np.log((1 + n) / (1 + seen)) + 1)
@@ -121,32 +122,31 @@ def train(
         return model
     spark = docs.sparkSession
     rates = spark.createDataFrame([(k, min(1.0, per_lang / v)) for k, v in per.items()], "_lang string, _rate double")
-    draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 40)) / float(1 << 40)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in decoded(batches):
             pairs = [sent.value.vector(x) for x in found]
-            cols = [batch.column("_lang"), pa.array([i.astype(np.uint16).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.astype(np.float16).tobytes() for _, v in pairs], pa.binary())]
+            cols = [batch.column("_lang"), pa.array([i.astype(np.uint16).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "ids", "vals"])
 
+    def centre(own: pd.DataFrame) -> pd.DataFrame:
+        """A language's centroids, and how near nearly all of their members are."""
+        rows = sorted(zip(own["ids"], own["vals"], strict=True))
+        dense = np.zeros((len(rows), DIM), np.float32)
+        for k, (ids, values) in enumerate(rows):
+            dense[k, np.frombuffer(ids, np.uint16)] = np.frombuffer(values, np.float32)
+        centres, member = cluster(dense, centroids)
+        used = [(c, dense[member == j] @ c) for j, c in enumerate(centres) if (member == j).any()]
+        return pd.DataFrame([(own["lang"].iloc[0], j, c.astype(np.float32).tobytes(), float(np.quantile(near, 0.01)) - SLACK) for j, (c, near) in enumerate(used)], columns=["lang", "k", "centre", "least"])
+
     drawn = learned.join(F.broadcast(rates), "_lang").where(draw < F.col("_rate")).select("_text", "_lang")
-    rows = sorted(drawn.mapInArrow(run, "lang string, ids binary, vals binary").collect(), key=lambda r: (r.lang, r.ids, r.vals))
-    langs, centres, least = [], [], []
-    for lang in sorted(per):
-        own = [r for r in rows if r.lang == lang][: 4 * per_lang]
-        if not own:
-            continue
-        dense = np.zeros((len(own), DIM), np.float32)
-        for k, r in enumerate(own):
-            dense[k, np.frombuffer(r.ids, np.uint16)] = np.frombuffer(r.vals, np.float16)
-        found, member = cluster(dense, centroids)
-        for j, c in enumerate(found):
-            if (member == j).any():
-                langs.append(lang)
-                centres.append(c)
-                least.append(float(np.quantile(dense[member == j] @ c, 0.01)) - SLACK)
-    model.langs, model.centres, model.least = langs, np.ascontiguousarray(np.stack(centres, axis=1), np.float32), np.array(least)
+    vectors = drawn.mapInArrow(run, "lang string, ids binary, vals binary")
+    got = vectors.groupBy("lang").applyInPandas(centre, "lang string, k int, centre binary, least double").orderBy("lang", "k").collect()
+    if got:
+        model.langs, model.least = [r.lang for r in got], np.array([r.least for r in got])
+        model.centres = np.ascontiguousarray(np.stack([np.frombuffer(r.centre, np.float32) for r in got], axis=1))
     return model
 
 

@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, la
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "id").select("_text", "label", F.xxhash64("id", "_text").alias("h"))
-    got = sorted(rows.mapInArrow(run, "bits binary, label int, h long").collect(), key=lambda r: (r.h, r.bits))[: 2 * most]
+    got = rows.mapInArrow(run, "bits binary, label int, h long").orderBy("h", "bits").limit(2 * most).collect()  # more than `most` only where ids repeat
     return fit([np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))) for r in got], np.array([r.label for r in got], float))
 
 
