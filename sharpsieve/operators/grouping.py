@@ -28,7 +28,7 @@ def _flips(bits: int, most: int) -> list[int]:
 
 def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", hash_col: str = "fingerprint", n_bits: int = 64, bands: int = 4) -> DataFrame:
     """a, b, distance: pairs of rows (a < b) whose fingerprints (longs) differ in at most `most` bits; null fingerprints take no part."""
-    rows = frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    rows = Scratch(frames.sparkSession).write(frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")), "rows")
     close = fingerprint_pairs(rows.select("h").distinct(), most, n_bits=n_bits, bands=bands)
     other = close.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance")
     linked = rows.join(close.union(other), F.col("h") == F.col("h1")).select(F.col("id").alias("a"), "h2", "distance")
@@ -74,7 +74,9 @@ def group_by_similarity(
     With a time gap every close pair counts for itself; without one equal
     fingerprints are one node, so a group of copies costs no pairs.
     """
+    scratch = Scratch(frames.sparkSession)
     rows = frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), (F.col(time_col) if time_col else F.lit(None).cast("double")).alias("t"))
+    rows = scratch.write(rows, "rows")  # fingerprints are computed once
     if max_gap > 0 and time_col:
         pairs = hamming_pairs(rows, max_distance, id_col="id", hash_col="h", n_bits=n_bits)
         times = rows.select("id", "t")
@@ -87,6 +89,7 @@ def group_by_similarity(
         marked = rows.join(roots, F.col("h") == F.col("node"), "left").select("id", F.coalesce("root", "h").alias("mark"))
         first = marked.groupBy("mark").agg(F.min("id").alias("root"))
         rooted = marked.join(first, "mark").select("id", "root")
+    rooted = scratch.write(rooted, "rooted")
     ids = dense_ids(rooted.select("root").distinct())
     return rooted.join(ids, "root").select(F.col("id").alias(id_col), "group_id")
 
@@ -110,8 +113,9 @@ def group_wide(frames: DataFrame, *, max_distance: int, max_gap: float = 0.0, id
 
 def dense_ids(roots: DataFrame, column: str = "root", out: str = "group_id") -> DataFrame:
     """0, 1, ... in the order of column: ranges are numbered apart, and shifted by the counts before them, so no task sees all rows."""
-    spread = roots.repartitionByRange(column).select(column, F.spark_partition_id().alias("_part")) if not roots.isEmpty() else roots.select(column, F.lit(0).alias("_part"))
-    spread = Scratch(roots.sparkSession).write(spread, "ranges")
+    scratch = Scratch(roots.sparkSession)
+    once = scratch.write(roots.select(column), "roots")  # dealing out by range reads its input twice
+    spread = scratch.write(once.repartitionByRange(column).select(column, F.spark_partition_id().alias("_part")), "ranges")
     counts = spread.groupBy("_part").count().collect()  # as many rows as there are ranges
     shift, total = {}, 0
     for r in sorted(counts, key=lambda r: r._part):
