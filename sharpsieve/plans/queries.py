@@ -16,6 +16,7 @@ from sharpsieve.functions import boxes, capture, paths, tiles
 from sharpsieve.functions.rules import compile_value, condition, frame_names
 from sharpsieve.operators import compare, grouping, locate, rating, summary
 from sharpsieve.schema import FLAT, LEAD, is_group_best
+from sharpsieve.sinks import names
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -533,3 +534,47 @@ def compare_shown_names(spark, sf):
 @query("SELECT doc_id, CASE WHEN r IS NULL THEN 'unrated' WHEN r >= 4 THEN 'keeper' WHEN r <= 2 THEN 'reject' ELSE 'middle' END AS bucket FROM (SELECT doc_id, CASE WHEN n_chars >= 300 THEN n_chars % 6 END AS r FROM documents)")
 def rating_buckets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rating.bucket(F.when(F.col("n_chars") >= 300, F.col("n_chars") % 6)).alias("bucket"))
+
+
+# --- names and texts -----------------------------------------------------------------------
+
+
+@query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def xml_escaped(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query("SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(url, '(.)\\.[^.]*$', '\\1'), '[^0-9A-Za-z_.-]', '-', 'g'), 1, 60), ''), 'frame') AS slug FROM pages")
+def path_slug(spark, sf):
+    return pages(spark, sf).select("page_id", paths.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT page_id, lpad((row_number() OVER (ORDER BY page_id) - 1)::VARCHAR, 5, '0') || '-' || coalesce(nullif(substr(regexp_replace(regexp_replace(url, '(.)\\.[^.]*$', '\\1'), '[^0-9A-Za-z_.-]', '-', 'g'), 1, 60), ''), 'frame') || '.png' AS name FROM pages")
+def indexed_names(spark, sf):
+    return names.indexed(pages(spark, sf), ".png", name_col="url", idx_col="page_id").select("page_id", "name")
+
+
+@query(f"SELECT page_id, d::INTEGER AS depth, array_to_string(p[-d:], '/') AS key FROM (SELECT page_id, p, unnest(range(1, least(len(p), 8) + 1)) AS d FROM (SELECT page_id, {_PARTS} AS p FROM pages))")
+def trailing_keys(spark, sf):
+    return pages(spark, sf).select("page_id", F.explode(paths.trailing_keys(F.col("url"))).alias("t")).select("page_id", "t.depth", "t.key")
+
+
+@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings)
+SELECT x.vec_id AS vec_id, (bit_count(xor(x.h, y.h)) + bit_count(xor(y.h, x.h)))::INTEGER AS distance FROM h x JOIN h y ON y.vec_id = x.vec_id + 1""")
+def wide_distance(spark, sf):
+    """Fingerprints of two words each."""
+    h = hashed(spark, sf)
+    other = h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("fingerprint").alias("g"))
+    pair = lambda a, b: F.array(F.col(a), F.col(b))
+    return h.join(other, "vec_id").select("vec_id", tiles.distance_of_arrays(pair("fingerprint", "g"), pair("g", "fingerprint")).alias("distance"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'high' ELSE 'medium' END AS confidence,
+round((CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 0.15 - 0.1 * 0.35 WHEN event_id % 4 = 2 THEN 0.1 ELSE 0.5 END)::DOUBLE, 6) AS x FROM events""")
+def face_box(spark, sf):
+    """No face, one with eyes, one without, and two of which the larger counts."""
+    k = F.col("event_id") % 4
+    eye = lambda x, there: F.when(there, F.struct(F.lit(x).alias("x"), F.lit(0.15).alias("y")))
+    face = lambda x, w, there: F.struct(F.lit(x).alias("x"), F.lit(0.1).alias("y"), F.lit(w).alias("w"), F.lit(0.2).alias("h"), F.lit(0.95).alias("score"), eye(0.15, there).alias("left_eye"), eye(0.25, there).alias("right_eye"))
+    faces = F.filter(F.array(F.when(k > 0, face(0.1, 0.2, k == 1)), F.when(k == 3, face(0.5, 0.3, F.lit(False)))), lambda f: f.isNotNull())
+    return table(spark, sf, "events").select("event_id", locate.largest_face(faces).alias("b")).select("event_id", "b.confidence", F.round("b.box.x", 6).alias("x"))

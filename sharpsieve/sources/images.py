@@ -8,7 +8,9 @@ Whatever fails becomes a row with an error.
 
 from __future__ import annotations
 
+import io
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from sharpsieve.sources.containers import exif_base, read_layout
 from sharpsieve.sources.tiff import Tiff, capture_fields, merged
 
 CAPTURE = "make string, model string, lens string, iso int, aperture double, shutter_seconds double, focal_length double, focal_length_35mm double, timestamp string, orientation int"
-HEADERS = f"file_idx bigint, path string, filename string, loader string, pixels_at string, declared_width int, declared_height int, {CAPTURE}, error string"
+HEADERS = f"file_idx bigint, path string, filename string, loader string, pixels_at string, declared_width int, declared_height int, upright boolean, {CAPTURE}, error string"
 MEASURED = (
     "file_idx bigint, frame_width int, frame_height int, tile_rows int, tile_cols int, tiles array<float>, jxx double, jyy double, jxy double, "
     "highlight_clipped double, shadow_clipped double, dynamic_range double, mean_luma double, contrast double, "
@@ -35,11 +37,32 @@ MEASURED = (
 )
 
 
-def header(path: str, suffix: str) -> tuple[dict, bytes | None]:
-    """A file's capture fields (with declared size and loader), and its embedded JPEG if it is a raw file."""
+def decode_sensor(data: bytes) -> bytes | None:
+    """The picture of a raw file's sensor at half size, upright, as PNG; None where rawpy isn't installed or can't read it."""
+    try:
+        import rawpy
+    except ImportError:
+        return None
+    try:
+        with rawpy.imread(io.BytesIO(data)) as raw:
+            return pixels.png(raw.postprocess(half_size=True, no_auto_bright=True, use_camera_wb=True))
+    except Exception as error:  # rawpy has errors of its own
+        raise UnreadableImage(f"raw decode failed ({error})") from error
+
+
+def header(path: str, suffix: str, sensor: bool = False) -> tuple[dict, bytes | None]:
+    """A file's capture fields (with declared size and loader), and a raw file's picture: its largest embedded JPEG, or with `sensor` what rawpy makes of it."""
     source = Source(path)
     try:
         if suffix in RAW:
+            if sensor and (decoded := decode_sensor(source.at(0, source.size))) is not None:
+                try:
+                    fields = capture_fields(merged(read_layout(source).directories))
+                except UnreadableImage:
+                    fields = capture_fields({})
+                height, width = (2 * x for x in struct.unpack(">II", decoded[16:24])[::-1])
+                lies = fields["orientation"] in (5, 6, 7, 8)  # the picture is upright; sizes are declared as stored
+                return fields | {"loader": "raw-decode", "upright": True, "declared_width": height if lies else width, "declared_height": width if lies else height}, decoded
             layout = read_layout(source)
             if layout.largest is None:
                 raise UnreadableImage("no embedded preview found")
@@ -68,13 +91,13 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def read_headers(files: DataFrame, previews: str) -> DataFrame:
-    """A row for each file with what its header says and where its pixels are to be read; previews: a shared folder for embedded JPEGs."""
+def read_headers(files: DataFrame, previews: str, sensor: bool = False) -> DataFrame:
+    """A row for each file with what its header says and where its pixels are to be read; previews: a shared folder for raw files' pictures."""
 
     def one(path: str, filename: str, suffix: str, file_idx: int) -> dict:
         row = {"file_idx": file_idx, "path": path, "filename": filename, "pixels_at": path}
         try:
-            fields, preview = header(path, suffix)
+            fields, preview = header(path, suffix, sensor)
             row |= {k: v for k, v in fields.items() if k not in row}
             if preview is not None:
                 row["pixels_at"] = f"{previews}/{file_idx:012d}.jpg"
@@ -128,7 +151,8 @@ def measure(images: DataFrame, config: Config) -> DataFrame:
                         out["error"] = f"unexpected failure: {error!r}"
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
-    flat = images.select("file_idx", "orientation", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    turned = F.when(~F.coalesce("upright", F.lit(False)), F.col("orientation")).alias("orientation")
+    flat = images.select("file_idx", turned, F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return flat.mapInArrow(run, MEASURED)
 
 
@@ -150,7 +174,7 @@ def read_frames(files: DataFrame, config: Config) -> DataFrame:
     previews = f"{scratch.root}/previews"
     store, place = pafs.FileSystem.from_uri(previews)
     store.create_dir(place, recursive=True)
-    headers = scratch.write(read_headers(files, previews), "headers")
+    headers = scratch.write(read_headers(files, previews, config.input.prefer_raw_decode), "headers")
     wanted = [r.pixels_at for r in headers.where("error is null").select("pixels_at").toLocalIterator()]
     if wanted:
         decoded = spark.read.format("image").option("dropInvalid", False).load([_literal(p) for p in wanted]).select("image")
