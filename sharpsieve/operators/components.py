@@ -1,26 +1,56 @@
-"""Connected components by minimum labels with shortcuts, in DataFrames."""
+"""Connected components: by union-find in one task up to a checked number of edges, beyond it by minimum labels with shortcuts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharpsieve.operators.scratch import Scratch
 
+#: Edges that one task takes (some tens of MB); more are worked on by all tasks.
+ONE_TASK = 500_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b of one orderable type. node, root (the component's smallest node) for every node of an edge.
 
-    Each round every node takes the smallest label around it, and then the label of
-    that label, so distances halve; a round is a table in the shared folder, and only
-    a count of changes reaches the driver.
-    """
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """edges: a, b of one orderable type. node, root (the component's smallest node) for every node of an edge."""
     scratch = Scratch(edges.sparkSession)
-    proper = edges.where("a != b").select("a", "b")
-    both = scratch.write(proper.union(proper.select("b", "a")).distinct(), "edges")
+    proper = scratch.write(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if proper.count() <= one_task:
+        kind = proper.schema["a"].dataType.simpleString()
+        return scratch.write(proper.coalesce(1).mapInPandas(_united, f"node {kind}, root {kind}"), "roots")
+    return _spread(proper, scratch)
+
+
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find with halved paths; the smaller node leads."""
+    lead: dict = {}
+
+    def find(x):
+        while lead[x] != x:
+            lead[x] = lead[lead[x]]
+            x = lead[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            lead.setdefault(a, a)
+            lead.setdefault(b, b)
+            a, b = sorted((find(a), find(b)))
+            lead[b] = a
+    nodes = list(lead)
+    yield pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]})
+
+
+def _spread(proper: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each round every node takes the smallest label around it, and then the label of that label, so distances halve.
+
+    A round is a table in the shared folder; only a count of changes reaches the driver.
+    """
+    both = scratch.write(proper.select("a", "b").union(proper.select("b", "a")), "both")
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels-0")
-    if labels.isEmpty():
-        return labels
     k = 0
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("around"))

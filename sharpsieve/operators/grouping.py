@@ -47,7 +47,7 @@ def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands
         keys = []
         for band, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
             part = F.shiftrightunsigned(F.col("h"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-            masks = F.array(*[F.lit(m).cast("long") for m in _flips(high - low, flips)])
+            masks = F.split(F.lit(",".join(map(str, _flips(high - low, flips)))), ",").cast("array<bigint>")  # one constant, not a tree of them
             keys.append(F.transform(masks, _filed_under(band, part)))
         return rows.select(F.col("h").alias(name), F.explode(F.concat(*keys)).alias("k")).select(name, "k.band", "k.key")
 

@@ -42,13 +42,14 @@ def unions(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_against_union_find(spark, one_task):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
     want = unions({x for e in edges for x in e}, edges)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want if k not in got)
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
 
 
 @pytest.mark.parametrize("most", [0, 3, 10, 18])
