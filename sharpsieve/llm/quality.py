@@ -76,7 +76,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     """Dual coordinate descent for the hinge loss with squared norm; the intercept is a feature of value 1. Both classes weigh alike."""
     sign = np.where(labels > 0, 1.0, -1.0)
     upper = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9)) * penalty
-    diagonal = np.array([np.dot(v, v) + 1 for v in values])
+    diagonal = np.array([float(np.dot(v, v)) + 1 for v in values])
     weight, bias, alpha, rng = np.zeros(1 << DIM_BITS), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -92,7 +92,7 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     ratio = ratios(rows, labels)
-    values = [ratio[x] for x in rows]
+    values = [ratio[x].astype(np.float32) for x in rows]
     values = [v / n if (n := np.sqrt(np.dot(v, v))) > 0 else v for v in values]
     return Model(ratio, *descend(rows, values, labels), 1.0, 0.0)
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, la
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "id").select("_text", "label", F.xxhash64("id", "_text").alias("h"))
     got = rows.mapInArrow(run, "bits binary, label int, h long").orderBy("h", "bits").limit(2 * most).collect()  # more than `most` only where ids repeat
-    return fit([np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))) for r in got], np.array([r.label for r in got], float))
+    return fit([np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))).astype(np.uint16) for r in got], np.array([r.label for r in got], float))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
