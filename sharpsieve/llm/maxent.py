@@ -6,9 +6,11 @@ of a text is a class of its own. P(class | history) is a softmax whose features
 hashed n-grams and skips of the history (TABLES); P(word | class) are the class's
 unigrams, c + 0.5 for a word and 0.5 for what the class hasn't seen.
 
-Texts are cut into blocks of tokens with a vocabulary each, written once; corpus
-counts are joined to these vocabularies, so a word is sent once a block and not once
-an occurrence. Training takes all learned texts once, in `rounds` rounds: every task
+Texts are cut into blocks of tokens with a vocabulary each, written once; the words of
+these vocabularies meet in one shuffle, get their corpus counts, classes and hashes,
+and go back to their blocks as numbers, so a word is sent once a block and not once an
+occurrence. The words that classes are made from are the most frequent ones by their
+counts in blocks that have them among their own first. Training takes all learned texts once, in `rounds` rounds: every task
 runs Adagrad over its blocks from the same weights, and the updates are averaged by
 how often each feature was seen, in a tree of bounded fan-in. Weights, class tables
 and their updates have a fixed size; the vocabulary stays distributed.
@@ -21,6 +23,7 @@ fit into memory once, a table of any number of texts doesn't.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,8 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -37,8 +42,8 @@ from sharpsieve.llm.common import Scratch, encoded
 from sharpsieve.llm.langid import cluster
 from sharpsieve.llm.ngrams import byte_grams
 
-#: Tokens in a block, bits of a feature table's rows, classes, words that the classes are made from, rounds.
-BLOCK, ROW_BITS, CLASSES, TOP, ROUNDS = 2_000_000, 13, 32, 8192, 2
+#: Tokens in a block, bits of a feature table's rows, classes, words that the classes are made from, a block's own first words, rounds.
+BLOCK, ROW_BITS, CLASSES, TOP, OWN_TOP, ROUNDS = 2_000_000, 13, 32, 8192, 2000, 2
 #: The features of a history: words, pairs of words, skips, and classes before.
 TABLES = ("always", "word 1 before", "word 2 before", "words 1 and 2 before", "classes 1 to 3 before")
 SPELL_BITS, BATCH, RATE, FAN = 10, 8192, 0.3, 64
@@ -50,8 +55,18 @@ _M = np.uint32(0x9E3779B1)
 # --- blocks -----------------------------------------------------------------
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """Places as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
 def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: int) -> DataFrame:
-    """block, ids, learned, lengths, tokens (places in words), words, counts (in learned texts)."""
+    """block, ids, learned, lengths, tokens (places in words), words, counts (in learned texts), and its most frequent words."""
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_type(kind)
 
@@ -59,15 +74,16 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: i
         number = (TaskContext.get().partitionId() << 24) - 1
 
         def flush():
-            learned = np.repeat(flags, lengths)
-            counts = np.bincount(tokens_of()[learned], minlength=len(places))
-            row = [[number], [pa.concat_arrays(ids)], [flags], [lengths], [tokens_of().tobytes()], [list(places)], [counts]]
-            kinds = [pa.int64(), pa.list_(arrow), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            cols = [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x for x in r], t) for r, t in zip(row, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "learned", "lengths", "tokens", "words", "counts"])
-
-        def tokens_of():
-            return np.concatenate(tokens)
+            own = np.concatenate(tokens)
+            counts = np.bincount(own[np.repeat(flags, lengths)], minlength=len(places))
+            found = list(places)
+            first = np.argsort(-counts, kind="stable")[:OWN_TOP]
+            first = first[counts[first] > 0]
+            row = [[number], [flags], [lengths], [pack(own)], [found], [counts], [[found[i] for i in first]], [counts[first]]]
+            kinds = [pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            cols = [pa.array(r, t) for r, t in zip(row, kinds, strict=True)]
+            every = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids))
+            return pa.RecordBatch.from_arrays([cols[0], every.cast(pa.list_(arrow)), *cols[1:]], names=["block", "ids", "learned", "lengths", "tokens", "words", "counts", "top", "top_counts"])
 
         def fresh():
             found = defaultdict()
@@ -94,7 +110,7 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: i
             yield flush()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), learn.alias("learned"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words array<binary>, counts array<long>")
+    return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words array<binary>, counts array<long>, top array<binary>, top_counts array<long>")
 
 
 # --- classes ----------------------------------------------------------------
@@ -203,6 +219,12 @@ def learn_batch(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows
         weights[t, used] -= rate * sums / np.sqrt(squares[t, used] + 1e-6)
 
 
+def numbers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, classes and hashes of a block's words, from one 64-bit number each: count, class (7 bits), hash (16 bits), whether the word is counted here (1 bit)."""
+    x = np.frombuffer(data, "<i8")
+    return x >> 24, (x >> 17 & 127).astype(np.uint8), (x >> 1 & 0xFFFF).astype(np.uint32) * _M
+
+
 def _row(record: dict, key: str, kind: type) -> np.ndarray:
     return np.frombuffer(record[key], kind)
 
@@ -216,7 +238,7 @@ def _updates(ready: DataFrame, weights: np.ndarray, part: int, rounds: int, rate
         now, squares, seen = start.copy(), np.zeros_like(start), np.zeros(start.shape[:2], np.int64)
         for batch in batches:
             for record in batch.to_pylist():
-                tokens, hashes, classes = _row(record, "tokens", np.int32), _row(record, "hashes", np.uint32), _row(record, "classes", np.uint8)
+                tokens, (_, classes, hashes) = unpack(record["tokens"]), numbers(record["words"])
                 flags = np.array(record["learned"], bool) & (np.arange(len(record["learned"])) % rounds == part)
                 mine = np.flatnonzero(np.repeat(flags, record["lengths"]))
                 rows, goal = features(tokens, hashes, classes), classes[tokens]
@@ -254,6 +276,12 @@ def _updates(ready: DataFrame, weights: np.ndarray, part: int, rounds: int, rate
     return delta.reshape(weights.shape), n.reshape(weights.shape[:2])
 
 
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files of what isn't referred to any more; it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- the whole ----------------------------------------------------------------
 
 
@@ -265,42 +293,47 @@ def score(
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType
     blocks = scratch.write(_blocks(docs, learn, id_col, text_col, block), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counts = scratch.write(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(TOP).collect()
-    named = make_classes([bytes(r.word) for r in top], classes)
+    first = blocks.select(F.explode(F.arrays_zip("top", "top_counts")).alias("w")).groupBy(F.col("w.top").alias("word")).agg(F.sum("w.top_counts").alias("c"))
+    named = make_classes([bytes(r.word) for r in first.orderBy(F.desc("c"), "word").limit(TOP).collect()], classes)
     n_classes = named.centres.shape[1] + 1
     sent = spark.sparkContext.broadcast(named)
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(n_classes), np.zeros(n_classes)
-        for batch in batches:
-            own = sent.value.of(batch.column("word").to_pylist())
-            n += np.bincount(own, weights=batch.column("c").to_numpy(), minlength=n_classes)
-            v += np.bincount(own, minlength=n_classes)
-        yield pa.RecordBatch.from_arrays([pa.array(range(n_classes), pa.int32()), pa.array(n), pa.array(v)], names=["k", "n", "v"])
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    same = W.partitionBy("word").orderBy("block")
+    counted = words.select("block", "place", "word", F.sum("n").over(W.partitionBy("word")).alias("c"), (F.row_number().over(same) == 1).alias("here"))
 
-    got = {r.k: r for r in counts.mapInArrow(sizes, "k int, n double, v double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    class_n, class_v = (np.array([got[k][x] if k in got else 0.0 for k in range(n_classes)]) for x in ("n", "v"))
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()  # equal words are neighbours
+            found, spots = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            hashes = np.array([zlib.crc32(w) & 0xFFFF for w in found], np.int64)
+            own = sent.value.of(found).astype(np.int64) << 17 | hashes << 1
+            packed = batch.column("c").to_numpy() << 24 | own[spots] | batch.column("here").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(packed)], names=["at", "place", "packed"])
 
-    # each block gets the corpus counts of its vocabulary, and its words' classes and hashes instead of the words
-    known = words.select("block", "place", "word").join(counts, "word").select(F.col("block").alias("at"), "place", "c")
-    schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, c binary, classes binary, hashes binary"
+    known = counted.mapInArrow(classify, "at long, place int, packed long")
+    schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words binary, class_n array<long>, class_v array<long>"
+    kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "tokens": pa.binary(), "words": pa.binary(), "class_n": pa.list_(pa.int64()), "class_v": pa.list_(pa.int64())}
 
     def ready_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        own = left.column("words")[0].as_py()
-        c = np.zeros(len(own), np.int64)
-        c[right.column("place").to_numpy()] = right.column("c").to_numpy()
-        hashes = np.array([zlib.crc32(w) for w in own], np.uint32) * _M
-        more = [pa.array([x.tobytes()], pa.binary()) for x in (c, sent.value.of(own), hashes)]
-        return pa.Table.from_arrays([*(left.column(x).cast(kinds[x]) for x in ("ids", "learned", "lengths", "tokens")), *more], names=list(kinds))
-
-    kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64())} | dict.fromkeys(("tokens", "c", "classes", "hashes"), pa.binary())
-    ready = scratch.write(blocks.drop("counts").groupBy("block").cogroup(known.groupBy("at")).applyInArrow(ready_block, schema), "ready")
+        packed = right.column("packed").to_numpy()[np.argsort(right.column("place").to_numpy(), kind="stable")]
+        c, own, _ = numbers(packed.tobytes())
+        mine = (packed & 1 > 0) & (c > 0)
+        totals = [np.bincount(own[mine], weights=w, minlength=n_classes).astype(np.int64) for w in (c[mine], None)]
+        cols = [*(left.column(x).cast(kinds[x]) for x in ("ids", "learned", "lengths", "tokens")), pa.array([packed.tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in totals)]
+        return pa.Table.from_arrays(cols, names=list(kinds))
+
+    own = blocks.select("block", "ids", "learned", "lengths", "tokens")
+    ready = scratch.write(own.groupBy("block").cogroup(known.groupBy("at")).applyInArrow(ready_block, schema), "ready")
     scratch.drop("blocks")
+    by_class = ready.select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("k", "t")).groupBy("k").agg(F.sum("t.class_n").alias("n"), F.sum("t.class_v").alias("v")).collect()
+    class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
+    for r in by_class:
+        class_n[r.k], class_v[r.k] = r.n, r.v
+    del blocks, words, counted, known, own, first
+    _release(spark)
 
     weights = np.zeros((len(TABLES), ROWS, n_classes), np.float32)
     weights[0, 0] = np.log((class_n + 0.5) / (class_n + 0.5).sum())
@@ -308,13 +341,14 @@ def score(
         delta, n = _updates(ready, weights, part, rounds, rate)
         weights = (weights + delta / np.maximum(n, 1)[:, :, None]).astype(np.float32)
     model = spark.sparkContext.broadcast(weights)
-    big_n, big_v, all_n = int(total.n), int(total.v), float(np.log10(total.n + 0.5 * (total.v + 1)))
+    big_n = int(sum(r.n for r in by_class))
+    all_n = float(np.log10(big_n + 0.5 * (sum(r.v for r in by_class) + 1)))
     class_log = np.log10(class_n + 0.5 * (class_v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, record in enumerate(batch.to_pylist()):
-                tokens, hashes, own, c = (_row(record, x, t) for x, t in (("tokens", np.int32), ("hashes", np.uint32), ("classes", np.uint8), ("c", np.int64)))
+                tokens, (c, own, hashes) = unpack(record["tokens"]), numbers(record["words"])
                 word = np.log10(c + 0.5)
                 starts = np.concatenate(([0], np.cumsum(record["lengths"])[:-1])).astype(np.int64)
                 base = np.add.reduceat((word - all_n)[tokens], starts)
