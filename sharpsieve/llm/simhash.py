@@ -161,7 +161,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, unchanged: the first by id (nulls last), then by the text's hash, then by the other columns."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    return keep_named(docs, near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that found (id, th, component_id, first_th) names first in their component, once each."""
     first = found.where(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first_th"))).select(F.col("id").alias("_first_id"), F.col("th").alias("_first_th")).distinct()
     none, value, text = free_name(docs, "none"), free_name(docs, "value"), free_name(docs, "th")
     keyed = docs.withColumns({none: F.col(id_col).isNull(), value: F.xxhash64(id_col), text: F.xxhash64(text_col)})
