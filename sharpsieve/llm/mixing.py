@@ -2,7 +2,7 @@
 
 Each of three marginals (source, language, topic) has a dict of target shares; a
 value that isn't in its dict, or is null, belongs to the category "*" (share 0
-if the dict doesn't name it). So the table of cells has at most the product of
+if the dict doesn't name it; None: its own share of all tokens, the others scaled to what is left). So the table of cells has at most the product of
 the dicts' sizes plus one each, whatever the data: it alone goes to the driver.
 Shares of a marginal are taken relative to the categories that hold tokens. A
 document's probability is its cell's raked weight divided by the cell's tokens, times
@@ -77,11 +77,23 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, fraction: float) -> np.
     return np.where(rate > 0, np.minimum(1.0, rate * factor[fits[0]]) if len(fits) else 1.0, 0.0)
 
 
+def goal(shares: Mapping[str, float | None], own: np.ndarray) -> np.ndarray:
+    """Target shares of a marginal; own: tokens of its categories, in the order of shares."""
+    rest = own[list(shares).index(REST)] / max(own.sum(), 1) if shares[REST] is None else None
+    out = np.array([0.0 if v is None else v for v in shares.values()], dtype=float)
+    if rest is None:
+        return out
+    held = out[own > 0].sum()
+    out = out * ((1 - rest) / held if held > 0 else 0.0)
+    out[list(shares).index(REST)] = rest
+    return out
+
+
 def mix(
     docs: DataFrame,
     *,
     sources: Mapping[str, float] = SOURCES,
-    langs: Mapping[str, float] = LANGS,
+    langs: Mapping[str, float | None] = LANGS,
     topics: Mapping[str, float] = TOPICS,
     topic_of: Column | None = None,
     fraction: float = FRACTION,
@@ -101,7 +113,8 @@ def mix(
     tokens = np.zeros([len(c) for c in cats])
     for *cell, n in grouped.groupBy(*keys).agg(F.sum(names["n_tokens"]).alias("n")).collect():
         tokens[tuple(c.index(v) for c, v in zip(cats, cell, strict=True))] = n
-    share = rake(tokens, [np.array([w[x] for x in c], dtype=float) for c, w in zip(cats, wanted, strict=True)], rounds)
+    goals = [goal(w, tokens.sum(axis=tuple({0, 1, 2} - {axis}))) for axis, w in enumerate(wanted)]
+    share = rake(tokens, goals, rounds)
     prob = probabilities(tokens, share, fraction)
     cells = [(*(c[i] for c, i in zip(cats, at, strict=True)), float(share[at]), float(prob[at])) for at in np.ndindex(*tokens.shape)]
     spark = docs.sparkSession
