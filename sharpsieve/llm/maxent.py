@@ -1,10 +1,13 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Words fall into classes by
-spelling: centroids of byte n-grams, clustered over the most frequent words; the end
-of a text is a class of its own. P(class | history) is a softmax whose features are
-hashed n-grams and skips of the history (TABLES); P(word | class) are the class's
-unigrams, c + 0.5 for a word and 0.5 for what the class hasn't seen.
+P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot).
+Words fall into classes by spelling: centroids of byte n-grams, clustered over the most
+frequent words; the end of a text is a class of its own. In its class a word has a slot:
+each of the class's most frequent words has one to itself, so that its probability
+given class and history is the softmax's alone; the others share `REST` slots by their
+last letters, and in a slot go by unigrams (c + 0.5 for a word, 0.5 for what the slot
+hasn't seen). Both softmaxes have hashed n-grams and skips of the history as features
+(TABLES; those of the slots are crossed with the class), and one training fits both.
 
 Texts are cut into blocks of tokens with a vocabulary each, written once; the words of
 these vocabularies meet in one shuffle, get their corpus counts, classes and hashes,
@@ -13,7 +16,8 @@ occurrence. The words that classes are made from are the most frequent ones by t
 counts in blocks that have them among their own first. Training takes all learned texts once, in `rounds` rounds: every task
 runs Adagrad over its blocks from the same weights, and the updates are averaged by
 how often each feature was seen, in a tree of bounded fan-in. Weights, class tables
-and their updates have a fixed size; the vocabulary stays distributed.
+and their updates have a fixed size (`ROW_BITS`, CLASSES, SLOTS); the vocabulary and
+its counts, which grow with the corpus, stay distributed.
 
 Defined results: a null text counts as empty, which is one token, the end; rows that
 repeat an id are scored each (and counted each); a null id is scored like any other;
@@ -42,14 +46,18 @@ from sharpsieve.llm.common import Scratch, encoded
 from sharpsieve.llm.langid import cluster
 from sharpsieve.llm.ngrams import byte_grams
 
-#: Tokens in a block, bits of a feature table's rows, classes, words that the classes are made from, a block's own first words, rounds.
-BLOCK, ROW_BITS, CLASSES, TOP, OWN_TOP, ROUNDS = 2_000_000, 13, 32, 8192, 2000, 2
-#: The features of a history: words, pairs of words, skips, and classes before.
+#: Tokens in a block, bits of a feature table's rows, classes and slots in each, slots that words share, words that the classes are made from, a block's own first words, rounds.
+BLOCK, ROW_BITS, CLASSES, SLOTS, REST, TOP, OWN_TOP, ROUNDS = 2_000_000, 13, 32, 32, 8, 8192, 2000, 2
+#: The features of a history for classes: words, pairs of words, skips, and classes before; and for slots, each with the class.
 TABLES = ("always", "word 1 before", "word 2 before", "words 1 and 2 before", "classes 1 to 3 before")
-SPELL_BITS, BATCH, RATE, FAN = 10, 8192, 0.3, 64
+SLOT_TABLES = ("class", "class, word 1 before", "class, word 2 before")
+#: START: what a row's squared gradients start from, so that rows seen seldom move little.
+SPELL_BITS, BATCH, RATE, START, FAN = 10, 4096, 0.3, 10.0, 64
 ROWS = 1 << ROW_BITS
 END = b"\n"
 _M = np.uint32(0x9E3779B1)
+#: Bits of a word's code: class, slot, hash, and whether it is counted in this block.
+_CLASS, _SLOT, _HASH = 26, 21, 1
 
 
 # --- blocks -----------------------------------------------------------------
@@ -136,11 +144,18 @@ def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classes:
+    """Centroids of spelling, and the slots of frequent words."""
+
     centres: np.ndarray
+    slots: dict[bytes, int]
+
+    @property
+    def n(self) -> int:
+        return self.centres.shape[1] + 1
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The class of each word; the end has the last."""
-        out = np.zeros(len(words), np.uint8)
+        out = np.zeros(len(words), np.int32)
         for at in range(0, len(words), 4096):
             part = [b"" if w == END else w for w in words[at : at + 4096]]
             grams, owners = spelling(part)
@@ -149,118 +164,143 @@ class Classes:
         out[[i for i, w in enumerate(words) if w == END]] = self.centres.shape[1]
         return out
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Class, slot and hash of each word in one number."""
+        rest = SLOTS - REST
+        slots = np.array([s if (s := self.slots.get(w)) is not None else rest + zlib.crc32(w[-2:]) % REST for w in words], np.int32)
+        hashes = np.array([zlib.crc32(w) & 0xFFFFF for w in words], np.int32)
+        return self.of(words) << _CLASS | slots << _SLOT | hashes << _HASH
+
 
 def make_classes(words: list[bytes], classes: int = CLASSES) -> Classes:
+    """words: the most frequent first."""
     words = [w for w in words if w != END]
     if not words:
-        return Classes(np.zeros((1 << SPELL_BITS, 1), np.float32))
+        return Classes(np.zeros((1 << SPELL_BITS, 1), np.float32), {})
     grams, owners = spelling(words)
     dense = np.zeros((len(words), 1 << SPELL_BITS), np.float32)
     np.add.at(dense, (owners, grams), 1)
     dense = np.log1p(dense)
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    return Classes(np.ascontiguousarray(cluster(dense, classes - 1)[0].T, np.float32))
+    made = Classes(np.ascontiguousarray(cluster(dense, classes - 1)[0].T, np.float32), {})
+    held = defaultdict(int)
+    for w, k in zip(words, made.of(words).tolist(), strict=True):
+        if held[k] < SLOTS - REST:
+            made.slots[w] = held[k]
+            held[k] += 1
+    return made
 
 
-# --- the softmax over classes ------------------------------------------------
+# --- the two softmaxes --------------------------------------------------------
 
 
-def features(tokens: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The row of each table for each token of a block; texts end with token 0, which also stands before each."""
+def features(tokens: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
+    """The rows of both softmaxes' tables for each token of a block; texts end with token 0, which also stands before each."""
 
     def before(x: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], x[:-1])).astype(x.dtype)
 
+    def row(x: np.ndarray) -> np.ndarray:
+        return (x >> np.uint32(32 - ROW_BITS)).astype(np.uint16)
+
     one = before(tokens)
     two = np.where(one == 0, 0, before(one))
     three = np.where(two == 0, 0, before(two))
     h1, h2 = hashes[one], hashes[two]
-    c = (classes[three].astype(np.uint32) * np.uint32(256) + classes[two]) * np.uint32(256) + classes[one]
-    shift = np.uint32(32 - ROW_BITS)
+    k1, k2, k3, own = (classes[x].astype(np.uint32) for x in (one, two, three, tokens))
     pair = (h1 * np.uint32(31) + h2) * _M
-    rows = (np.zeros(len(tokens), np.uint32), h1 >> shift, h2 >> shift, (pair ^ pair >> np.uint32(15)) * _M >> shift, (c + np.uint32(1)) * _M >> shift)
-    return np.stack(rows).astype(np.int32)
+    past = (k3 * np.uint32(256) + k2) * np.uint32(256) + k1
+    of_class = (np.zeros(len(tokens), np.uint16), row(h1), row(h2), row((pair ^ pair >> np.uint32(15)) * _M), row((past + np.uint32(1)) * _M))
+    crossed = [((h ^ h >> np.uint32(15)) + own * np.uint32(0x85EBCA6B)) * _M for h in (h1, h2)]
+    return [np.stack(of_class), np.stack((own.astype(np.uint16), *(row(x ^ x >> np.uint32(13)) for x in crossed)))]
 
 
-def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[0][rows[0]]
+def _exps(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The unnormalised probabilities; sums of weights stay far below what a float holds, and are bounded here in any case."""
+    out = np.take(weights[0], rows[0], axis=0)
     for t in range(1, len(weights)):
-        out += weights[t][rows[t]]
-    out -= out.max(axis=1, keepdims=True)
-    return out
+        out += np.take(weights[t], rows[t], axis=0)
+    np.minimum(out, 80, out=out)
+    return np.exp(out, out=out)
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The log probability (natural) of each goal class."""
-    out = np.empty(len(goal))
+    """The log probability (natural) of each goal."""
+    out, ones = np.empty(len(goal)), np.ones(weights.shape[2], np.float32)
     for at in range(0, len(goal), BATCH):
-        z = _logits(weights, rows[:, at : at + BATCH])
+        z = _exps(weights, rows[:, at : at + BATCH])
         own = z[np.arange(len(z)), goal[at : at + BATCH]]
-        out[at : at + BATCH] = own - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+        out[at : at + BATCH] = np.log(np.maximum(own, 1e-37)) - np.log(z @ ones)
     return out
 
 
 def learn_batch(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
-    """One Adagrad step on the mean gradient of the rows that a batch holds."""
-    z = _logits(weights, rows)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    """One Adagrad step on the summed gradient of each row that a batch holds."""
+    z = _exps(weights, rows)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
     z[np.arange(len(z)), goal] -= 1
     for t in range(len(weights)):
-        if t == 0:
-            used, sums, n = np.zeros(1, np.int64), z.sum(axis=0, keepdims=True), np.array([len(z)])
-        else:
-            order = np.argsort(rows[t].astype(np.uint16), kind="stable")
-            own = rows[t][order]
-            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            used, sums, n = own[starts], np.add.reduceat(z[order], starts, axis=0), np.diff(np.append(starts, len(own)))
+        order = np.argsort(rows[t], kind="stable")
+        own = rows[t][order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        used, sums, n = own[starts], np.add.reduceat(np.take(z, order, axis=0), starts, axis=0), np.diff(np.append(starts, len(own)))
         seen[t, used] += n
-        squares[t, used] += sums * sums
-        weights[t, used] -= rate * sums / np.sqrt(squares[t, used] + 1e-6)
+        total = np.take(squares[t], used, axis=0) + sums * sums
+        squares[t, used] = total
+        sums *= rate
+        sums /= np.sqrt(total)
+        weights[t, used] -= sums
 
 
-def numbers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, classes and hashes of a block's words, from one 64-bit number each: count, class (7 bits), hash (16 bits), whether the word is counted here (1 bit)."""
-    x = np.frombuffer(data, "<i8")
-    return x >> 24, (x >> 17 & 127).astype(np.uint8), (x >> 1 & 0xFFFF).astype(np.uint32) * _M
+def numbers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, classes, slots and hashes of a block's words: all counts (64 bits each), then all codes (32)."""
+    n = len(data) // 12
+    codes = np.frombuffer(data, "<i4", offset=8 * n)
+    return np.frombuffer(data, "<i8", n), codes >> _CLASS, codes >> _SLOT & 31, (codes >> _HASH & 0xFFFFF).astype(np.uint32) * _M
 
 
 def _row(record: dict, key: str, kind: type) -> np.ndarray:
     return np.frombuffer(record[key], kind)
 
 
-def _updates(ready: DataFrame, weights: np.ndarray, part: int, rounds: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Summed updates and sights of each row of the tables after a round; its texts are every rounds-th of a block, from `part`."""
+def _updates(ready: DataFrame, weights: list[np.ndarray], part: int, rounds: int, rate: float) -> list[np.ndarray]:
+    """For each softmax the mean updates of its tables' rows after a round, weighted by sights; its texts are every rounds-th of a block, from `part`."""
     sent = ready.sparkSession.sparkContext.broadcast(weights)
+    step = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = sent.value
-        now, squares, seen = start.copy(), np.zeros_like(start), np.zeros(start.shape[:2], np.int64)
+        now, squares = [w.copy() for w in sent.value], [np.full_like(w, START) for w in sent.value]
+        seen = [np.zeros(w.shape[:2], np.int64) for w in now]
         for batch in batches:
             for record in batch.to_pylist():
-                tokens, (_, classes, hashes) = unpack(record["tokens"]), numbers(record["words"])
+                tokens, (_, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
                 flags = np.array(record["learned"], bool) & (np.arange(len(record["learned"])) % rounds == part)
-                mine = np.flatnonzero(np.repeat(flags, record["lengths"]))
-                rows, goal = features(tokens, hashes, classes), classes[tokens]
-                for at in range(0, len(mine), BATCH):
-                    own = mine[at : at + BATCH]
-                    learn_batch(now, squares, seen, rows[:, own], goal[own], rate)
-        if seen.any():
-            task = TaskContext.get().partitionId()
+                mine = np.repeat(flags, record["lengths"])
+                rows = [x[:, mine] for x in features(tokens, hashes, classes)]
+                goals = [x[tokens[mine]] for x in (classes, slots)]
+                for k, (own, goal) in enumerate(zip(rows, goals, strict=True)):
+                    for at in range(0, len(goal), BATCH):
+                        learn_batch(now[k], squares[k], seen[k], own[:, at : at + BATCH], goal[at : at + BATCH], rate)
+        task = TaskContext.get().partitionId()
+        for k, start in enumerate(sent.value):
             for t in range(start.shape[0]):
-                for at in range(0, ROWS, 512):
-                    n = seen[t, at : at + 512]
+                for at in range(0, ROWS, step):
+                    n = seen[k][t, at : at + step]
                     if n.any():
-                        delta = (now[t, at : at + 512] - start[t, at : at + 512]) * n[:, None]
-                        yield pa.RecordBatch.from_arrays([pa.array([t * ROWS + at], pa.int32()), pa.array([task], pa.int64()), pa.array([delta.astype(np.float32).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
+                        delta = np.clip((now[k][t, at : at + step] - start[t, at : at + step]) * 1024, -60000, 60000).astype(np.float16)
+                        place = (k * len(TABLES) + t) * ROWS + at
+                        yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([task], pa.int64()), pa.array([pack_halves(delta)], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=names)
 
     names = ["place", "task", "delta", "n"]
 
     def add(key, got):
+        """The mean update of a run of rows, weighted by sights, and their sum."""
         delta, n = 0.0, 0
         for record in got.to_pylist():
-            delta, n = delta + _row(record, "delta", np.float32).astype(np.float64), n + _row(record, "n", np.int64)
-        row = [[key[0].as_py()], [key[1].as_py()], [delta.astype(np.float32).tobytes()], [n.tobytes()]]
+            own = _row(record, "n", np.int64)
+            delta, n = delta + halves(record["delta"], len(own)).astype(np.float64) * own[:, None], n + own
+        mean = (delta / np.maximum(n, 1)[:, None]).astype(np.float16)
+        row = [[key[0].as_py()], [key[1].as_py()], [pack_halves(mean)], [n.tobytes()]]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     schema = "place int, task long, delta binary, n binary"
@@ -268,12 +308,22 @@ def _updates(ready: DataFrame, weights: np.ndarray, part: int, rounds: int, rate
     while width > 1:
         found = found.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("place", "task").applyInArrow(add, schema)
         width = -(-width // FAN)
-    delta, n = np.zeros((len(weights) * ROWS, weights.shape[2])), np.zeros(len(weights) * ROWS, np.int64)
+    deltas = [np.zeros_like(w) for w in weights]
     for r in found.toLocalIterator():
-        size = len(r.n) // 8
-        n[r.place : r.place + size] += np.frombuffer(r.n, np.int64)
-        delta[r.place : r.place + size] += np.frombuffer(r.delta, np.float32).reshape(size, -1)
-    return delta.reshape(weights.shape), n.reshape(weights.shape[:2])
+        n = np.frombuffer(r.n, np.int64)
+        t, at = divmod(r.place, ROWS)
+        k, t = divmod(t, len(TABLES))
+        deltas[k][t, at : at + len(n)] = halves(r.delta, len(n)).astype(np.float32) / 1024
+    return deltas
+
+
+def pack_halves(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 2).T.tobytes())
+
+
+def halves(data: bytes, rows: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(2, -1).T).view(np.float16).reshape(rows, -1)
 
 
 def _release(spark) -> None:
@@ -282,20 +332,29 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def start_weights(counts: np.ndarray) -> list[np.ndarray]:
+    """Weights of both softmaxes that give the unigrams of classes, and of slots in them. counts: training tokens by class and slot."""
+    n_classes, slots = counts.shape
+    out = [np.zeros((len(TABLES), ROWS, n_classes), np.float32), np.zeros((len(SLOT_TABLES), ROWS, slots), np.float32)]
+    out[0][0, 0] = np.log((counts.sum(axis=1) + 0.5) / (counts + 0.5 / slots).sum())
+    out[1][0, :n_classes] = np.log((counts + 0.5 / slots) / (counts + 0.5 / slots).sum(axis=1, keepdims=True))
+    return out
+
+
 # --- the whole ----------------------------------------------------------------
 
 
 def score(
-    docs: DataFrame, *, learn: Column, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, learn: Column, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None
 ) -> DataFrame:
-    """id, learned, n_tokens, n_known, train_tokens, base_score, score (both log10): a row for each document; learn says which are learned from."""
+    """id, learned, n_tokens, n_known, train_tokens, base_score, score (both log10): a row for each document; learn says which are learned from. report gets the model."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     kind = docs.schema[id_col].dataType
     blocks = scratch.write(_blocks(docs, learn, id_col, text_col, block), "blocks")
     first = blocks.select(F.explode(F.arrays_zip("top", "top_counts")).alias("w")).groupBy(F.col("w.top").alias("word")).agg(F.sum("w.top_counts").alias("c"))
     named = make_classes([bytes(r.word) for r in first.orderBy(F.desc("c"), "word").limit(TOP).collect()], classes)
-    n_classes = named.centres.shape[1] + 1
+    n_classes, cells = named.n, named.n * SLOTS
     sent = spark.sparkContext.broadcast(named)
 
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
@@ -306,54 +365,55 @@ def score(
         for batch in batches:
             coded = batch.column("word").dictionary_encode()  # equal words are neighbours
             found, spots = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            hashes = np.array([zlib.crc32(w) & 0xFFFF for w in found], np.int64)
-            own = sent.value.of(found).astype(np.int64) << 17 | hashes << 1
-            packed = batch.column("c").to_numpy() << 24 | own[spots] | batch.column("here").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(packed)], names=["at", "place", "packed"])
+            codes = sent.value.codes(found)[spots] | batch.column("here").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), batch.column("c"), pa.array(codes, pa.int32())], names=["at", "place", "c", "code"])
 
-    known = counted.mapInArrow(classify, "at long, place int, packed long")
-    schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words binary, class_n array<long>, class_v array<long>"
-    kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "tokens": pa.binary(), "words": pa.binary(), "class_n": pa.list_(pa.int64()), "class_v": pa.list_(pa.int64())}
+    known = counted.mapInArrow(classify, "at long, place int, c long, code int")
+    schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words binary, cell_n array<long>, cell_v array<long>"
+    kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "tokens": pa.binary(), "words": pa.binary(), "cell_n": pa.list_(pa.int64()), "cell_v": pa.list_(pa.int64())}
 
     def ready_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        packed = right.column("packed").to_numpy()[np.argsort(right.column("place").to_numpy(), kind="stable")]
-        c, own, _ = numbers(packed.tobytes())
-        mine = (packed & 1 > 0) & (c > 0)
-        totals = [np.bincount(own[mine], weights=w, minlength=n_classes).astype(np.int64) for w in (c[mine], None)]
-        cols = [*(left.column(x).cast(kinds[x]) for x in ("ids", "learned", "lengths", "tokens")), pa.array([packed.tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in totals)]
+        order = np.argsort(right.column("place").to_numpy(), kind="stable")
+        c, codes = right.column("c").to_numpy()[order], right.column("code").to_numpy()[order]
+        mine = (codes & 1 > 0) & (c > 0)
+        cell = (codes >> _CLASS)[mine] * SLOTS + (codes >> _SLOT & 31)[mine]
+        totals = [np.bincount(cell, weights=w, minlength=cells).astype(np.int64) for w in (c[mine], None)]
+        packed = c.astype("<i8").tobytes() + codes.astype("<i4").tobytes()
+        cols = [*(left.column(x).cast(kinds[x]) for x in ("ids", "learned", "lengths", "tokens")), pa.array([packed], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in totals)]
         return pa.Table.from_arrays(cols, names=list(kinds))
 
     own = blocks.select("block", "ids", "learned", "lengths", "tokens")
     ready = scratch.write(own.groupBy("block").cogroup(known.groupBy("at")).applyInArrow(ready_block, schema), "ready")
     scratch.drop("blocks")
-    by_class = ready.select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("k", "t")).groupBy("k").agg(F.sum("t.class_n").alias("n"), F.sum("t.class_v").alias("v")).collect()
-    class_n, class_v = np.zeros(n_classes), np.zeros(n_classes)
-    for r in by_class:
-        class_n[r.k], class_v[r.k] = r.n, r.v
+    by_cell = ready.select(F.posexplode(F.arrays_zip("cell_n", "cell_v")).alias("k", "t")).groupBy("k").agg(F.sum("t.cell_n").alias("n"), F.sum("t.cell_v").alias("v")).collect()
+    cell_n, cell_v = np.zeros(cells), np.zeros(cells)
+    for r in by_cell:
+        cell_n[r.k], cell_v[r.k] = r.n, r.v
     del blocks, words, counted, known, own, first
     _release(spark)
 
-    weights = np.zeros((len(TABLES), ROWS, n_classes), np.float32)
-    weights[0, 0] = np.log((class_n + 0.5) / (class_n + 0.5).sum())
+    weights = start_weights(cell_n.reshape(n_classes, SLOTS))
     for part in range(rounds):
-        delta, n = _updates(ready, weights, part, rounds, rate)
-        weights = (weights + delta / np.maximum(n, 1)[:, :, None]).astype(np.float32)
+        weights = [w + d for w, d in zip(weights, _updates(ready, weights, part, rounds, rate), strict=True)]
     model = spark.sparkContext.broadcast(weights)
-    big_n = int(sum(r.n for r in by_class))
-    all_n = float(np.log10(big_n + 0.5 * (sum(r.v for r in by_class) + 1)))
-    class_log = np.log10(class_n + 0.5 * (class_v + 1))
+    big_n = int(cell_n.sum())
+    all_n = float(np.log10(big_n + 0.5 * (cell_v.sum() + 1)))
+    cell_log = np.log10(cell_n + 0.5 * (cell_v + 1))
+    if report is not None:
+        report |= {"weights": weights, "classes": named, "cell_n": cell_n, "cell_v": cell_v}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, record in enumerate(batch.to_pylist()):
-                tokens, (c, own, hashes) = unpack(record["tokens"]), numbers(record["words"])
+                tokens, (c, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
                 word = np.log10(c + 0.5)
                 starts = np.concatenate(([0], np.cumsum(record["lengths"])[:-1])).astype(np.int64)
                 base = np.add.reduceat((word - all_n)[tokens], starts)
-                inside = np.add.reduceat((word - class_log[own])[tokens], starts)
-                chosen = np.add.reduceat(log_softmax(model.value, features(tokens, hashes, own), own[tokens]), starts) / np.log(10)
+                inside = np.add.reduceat((word - cell_log[classes * SLOTS + slots])[tokens], starts)
+                chosen = sum(log_softmax(w, rows, goal[tokens]) for w, rows, goal in zip(model.value, features(tokens, hashes, classes), (classes, slots), strict=True))
+                chosen = np.add.reduceat(chosen, starts) / np.log(10)
                 n_known = np.add.reduceat((c > 0).astype(np.int64)[tokens], starts)
                 ids = batch.column("ids").slice(i, 1).flatten()
                 cols = [ids, pa.array(record["learned"], pa.bool_()), pa.array(record["lengths"], pa.int64()), pa.array(n_known), pa.array(np.full(len(ids), big_n, np.int64)), pa.array(base), pa.array(inside + chosen)]
