@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sharpsieve.llm import decontam, langid, licenses, line_dedup, maxent, mixing, quality, simhash
+from sharpsieve.llm import langid, licenses, line_dedup, maxent, mixing, quality, simhash
 
 #: Clashing names on purpose.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, _text string, id int, score double, fp string"
@@ -201,70 +201,6 @@ def test_longest_rising():
         assert picked == sorted(picked) and len(picked) == best
 
 
-# --- decontamination
-
-ITEMS = [
-    (1, "A train leaves Boston at 60 km per hour and meets Boston traffic after 3 hours while Anna waits near the old bridge"),
-    (2, "the quick brown fox jumps over the lazy dog near a quiet river bank every single morning"), (3, None), (4, "too few"), (2, "the quick brown fox jumps over the lazy dog near a quiet river bank every single morning"),
-]
-
-
-def benchmark(spark, rows=ITEMS):
-    return spark.createDataFrame(rows, "item_id long, text string")
-
-
-def test_leaks_exact_changed_and_inconsistent(spark):
-    item = ITEMS[0][1]
-    other = item.replace("Boston", "Denver").replace("60", "75").replace("Anna", "Maria")
-    mixed = item.replace("leaves Boston", "leaves Denver")
-    rows = [(1, prose(1) + " " + item + " " + prose(2), "en", "s"), (2, "So " + other, "en", "s"), (3, "So " + mixed, "en", "s"), (4, prose(9, 500), "en", "s"), (5, "THE QUICK brown fox, jumps; over the lazy dog near a quiet river bank every single morning", "en", "s")]
-    got = {(r.id, r.item_id): r for r in decontam.find_leaks(frame(spark, rows), benchmark(spark)).collect()}
-    assert set(got) == {(1, 1), (2, 1), (5, 2)}
-    assert got[1, 1].slots_changed == 0 and got[2, 1].slots_changed >= 4
-    assert sorted(r.doc_id for r in decontam.remove_leaks(frame(spark, rows), benchmark(spark)).collect()) == [3, 4]
-
-
-def brute_leaks(text, items, window=8, literals=4, coverage=0.6):
-    """Items found in a text by comparing all windows, from the plain statement of the canonical form."""
-    doc, out = decontam.canonical(text), set()
-    for item_id, t in set(items):
-        own = decontam.canonical(t or "")
-        if len(own) < 4:
-            continue
-        size = min(window, len(own))
-        starts = range(len(own) - size + 1)
-        rich = [i for i in starts if sum(f not in decontam.SLOTS for f, _ in own[i : i + size]) >= min(literals, size)] or list(starts)
-        hit = set()
-        for shift in range(-len(own), len(doc)):
-            at = [i for i in rich if 0 <= i + shift and i + shift + size <= len(doc) and all(own[i + j][0] == doc[i + shift + j][0] for j in range(size))]
-            spots = {p for i in at for p in range(i, i + size) if own[p][0] in decontam.SLOTS}
-            pairs = {(own[p][1], doc[p + shift][1]) for p in spots}
-            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                hit |= set(at)
-        if len(hit) / len(rich) >= coverage:
-            out.add(item_id)
-    return out
-
-
-def test_leaks_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    pool = ["Rome", "Oslo", "the", "a", "of", "river", "cost", "12", "7", "km", "years", "sold", "Bought", "."]
-    items = [(k, " ".join(rng.choice(pool, rng.integers(3, 16)))) for k in range(25)]
-    docs = [(k, " ".join([*rng.choice(pool, 6), items[k % 25][1] if k % 3 else "", *rng.choice(pool, 6)]), "en", "s") for k in range(60)]
-    got = {(r.id, r.item_id) for r in decontam.find_leaks(frame(spark, docs), benchmark(spark, items)).collect()}
-    assert got == {(i, x) for i, t, *_ in docs for x in brute_leaks(t, items)}
-    blocks = {(r.id, r.item_id) for r in decontam.find_leaks(frame(spark, docs), benchmark(spark, items), block_chars=200).collect()}
-    assert blocks == got
-
-
-def test_leak_edges(spark):
-    assert decontam.find_leaks(frame(spark, edge_rows()), benchmark(spark)).count() == 0
-    assert decontam.find_leaks(empty(spark), benchmark(spark)).count() == 0
-    assert decontam.find_leaks(frame(spark, edge_rows()), benchmark(spark).limit(0)).count() == 0
-    kept = decontam.remove_leaks(frame(spark, edge_rows()), benchmark(spark))
-    assert kept.count() == len(edge_rows())
-
-
 # --- SimHash
 
 
