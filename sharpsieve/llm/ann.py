@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (`most` vectors in expectation, drawn by
-hash): each node splits its vectors into `branch` clusters until a node has at most
-`leaf` of the sample. Every vector of the table is put into its leaf. A query walks
-the tree best bin first: a priority queue holds the branches not taken, by distance,
-and gives the leaves in the order in which they are visited. How many leaves are
-visited is calibrated: a bounded set of queries is searched exactly, in blocks over
+The tree grows with the table. It is fitted on a bounded sample first (`most` vectors in
+expectation, drawn by hash): each node splits its vectors into `branch` clusters until a
+leaf has about `leaf` rows of the table. Every vector is put into its leaf; a leaf that
+then holds more than `LARGE * leaf` rows is split again in a task of its own, on a sample
+of at most `SPLIT` of its rows in expectation, and so on until none is larger, can't be
+split (equal vectors), or the tree has MAX_LEAVES leaves; beyond them leaves get larger.
+A query walks the tree best bin first: a priority queue holds the branches not taken, by
+distance, and gives the leaves in the order in which they are visited. How many leaves
+are visited is calibrated: a bounded set of queries is searched exactly, in blocks over
 all rows, and visits are widened until the share of their true neighbours that lie in
-visited leaves reaches `recall`.
+visited leaves reaches `recall`. A query goes on beyond that until its leaves hold more
+than k rows, so it gets k neighbours whenever there are as many.
 
 A leaf's rows, and the queries that visit it, are dealt out in chunks of a bounded
 number, so a leaf that holds a third of all rows is many groups. Each pair of chunks
@@ -16,8 +20,8 @@ the original vectors; equal cosines go by smaller vec_id.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components,
 or are of another length than the most frequent (the larger of equally frequent
-ones), take no part, nor do null ids; equal rows count once; rows of the query's own
-id are never its neighbours; an empty table gives no rows; other columns are ignored.
+ones), take no part, nor do null ids; equal rows count once, and of rows that share an
+id the one with the smallest vector; rows of the query's own id are never its neighbours; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 
 from sharpsieve.llm.common import Scratch
 
-K, BRANCH, LEAF, MOST, CALIBRATE, RECALL, CHUNK, ROUNDS = 5, 16, 512, 32768, 256, 0.97, 8192, 10
+K, BRANCH, LEAF, MOST, CALIBRATE, RECALL, CHUNK, ROUNDS = 5, 16, 256, 32768, 256, 0.94, 8192, 10
+LARGE, SPLIT, MAX_LEAVES = 4, 4096, 1 << 17
 
 
 @dataclass
@@ -58,10 +63,10 @@ class Tree:
                 todo += [(child, own[best == j]) for j, child in enumerate(self.children[node])]
         return out
 
-    def visits(self, row: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, row: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first `most` leaves, best bin first, and more until they hold `rows` rows; leaves without rows aren't counted. sizes: rows of each leaf."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < rows):
             _, node = heapq.heappop(queue)
             while node >= 0:
                 far = np.sqrt(np.maximum(2 - 2 * (self.centres[node] @ row), 0))
@@ -70,9 +75,27 @@ class Tree:
                     if j != best:
                         heapq.heappush(queue, (float(far[j]), child))
                 node = self.children[node][best]
-            out.append(-1 - node)
+            if sizes is None:
+                out.append(-1 - node)
+            elif sizes[-1 - node]:
+                out.append(-1 - node)
+                held += int(sizes[-1 - node])
         return out
 
+    def split(self, leaf: int, centres: np.ndarray, parents: dict[int, tuple[int, int]]) -> None:
+        """A leaf becomes a node with a leaf for each centre."""
+        at = len(self.centres)
+        self.centres.append(centres)
+        self.children.append([-(self.n_leaves + j + 1) for j in range(len(centres))])
+        self.n_leaves += len(centres)
+        node, j = parents.pop(leaf)
+        self.children[node][j] = at
+        parents |= {-1 - x: (at, j) for j, x in enumerate(self.children[at])}
+
+    def parents(self) -> dict[int, tuple[int, int]]:
+        """The node of each leaf, and its place there."""
+        return {-1 - x: (node, j) for node, own in enumerate(self.children) for j, x in enumerate(own) if x < 0}
+
 
 def _means(rows: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     centres = rows[np.sort(rng.choice(len(rows), min(k, len(rows)), replace=False))]
@@ -145,12 +168,57 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (double array): the rows that take part, once each."""
-    v = F.col(vector_col).cast("array<double>")
+    """id, v (floats as they are, else doubles): the rows that take part."""
+    v = F.col(vector_col)
+    if rows.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(F.col(id_col).isNotNull() & fit).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
+def _filled(usable: DataFrame, tree: Tree, scratch: Scratch, drawn, branch: int, leaf: int) -> tuple[DataFrame, np.ndarray]:
+    """The rows with their leaves, and how many each leaf has; leaves that hold too many are split, which changes tree."""
+    kind, spark = usable.schema["v"].dataType.simpleString(), usable.sparkSession
+
+    def halves(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.unique(_unit(_stack(pdf["v"])), axis=0)
+        centres, member = _means(own, branch, np.random.default_rng(0))
+        used = np.unique(member)
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "j": used, "centre": list(centres[used])})
+
+    index, level, whole = None, 0, set()
+    while True:
+        sent = spark.sparkContext.broadcast(tree)
+
+        def place(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf[["id", "v"]].assign(leaf=sent.value.leaf(_unit(_stack(pdf["v"]))))
+
+        last, index = index, scratch.write(usable.mapInPandas(place, f"id long, v {kind}, leaf long"), f"index-{level}")
+        if last is not None:
+            scratch.drop(f"index-{level - 1}")
+        held = np.zeros(tree.n_leaves, np.int64)
+        for r in index.groupBy("leaf").count().collect():  # as many rows as the tree has leaves
+            held[r.leaf] = r["count"]
+        large = [int(x) for x in np.flatnonzero(held > LARGE * leaf) if x not in whole]
+        large = large[: max(0, (MAX_LEAVES - tree.n_leaves) // branch)]
+        if not large:
+            return index, held
+        shares = spark.createDataFrame([(x, min(1.0, SPLIT / int(held[x]))) for x in large], "leaf long, share double")
+        own = index.join(F.broadcast(shares), "leaf").where(drawn(F.col("share")))
+        found = own.select("leaf", "v").groupBy("leaf").applyInPandas(halves, "leaf long, j long, centre array<double>").orderBy("leaf", "j").toPandas()
+        parents = tree.parents()
+        for x, part in found.groupby("leaf"):
+            if len(part) > 1:
+                tree.split(int(x), _stack(part["centre"]), parents)
+        split = set(found.loc[found.duplicated("leaf"), "leaf"].astype(int))
+        whole |= set(large) - split
+        if not split:
+            return index, held
+        level += 1
+
+
 def search(
     rows: DataFrame,
     is_query: Column,
@@ -174,21 +242,18 @@ def search(
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    usable = usable.where(F.size("v") == sizes[0].d).groupBy("id").agg(F.min("v").alias("v"))
-    total = sizes[0]["count"]
-
-    draw = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = usable.where(draw < min(1.0, most / total)).select("v").toPandas()
-    sample = np.unique(_stack(drawn["v"]), axis=0) if len(drawn) else np.ones((1, sizes[0].d))
-    tree = grow(_unit(sample), branch, leaf)
-    sent = spark.sparkContext.broadcast(tree)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(leaf=sent.value.leaf(_unit(_stack(pdf["v"]))))
-
-    index = scratch.write(usable.mapInPandas(place, "id long, v array<double>, leaf long"), "index")
+    usable = scratch.write(usable.where(F.size("v") == sizes[0].d).groupBy("id").agg(F.min("v").alias("v")), "usable")
+    total = usable.count()
+
+    def drawn(share: Column) -> Column:
+        return F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) / float(1 << 40) < share
+
+    sample = usable.where(drawn(F.lit(min(1.0, most / total)))).select("v").toPandas()
+    sample = np.unique(_stack(sample["v"]), axis=0) if len(sample) else np.ones((1, sizes[0].d))
+    tree = grow(_unit(sample), branch, max(1, round(leaf * len(sample) / total)))
+    index, held = _filled(usable, tree, scratch, drawn, branch, leaf)
+    scratch.drop("usable")
+    sent = spark.sparkContext.broadcast((tree, held))
     queries = index.where(is_query)
 
     # calibration: exact neighbours of some queries, and the leaves in which they lie
@@ -207,19 +272,19 @@ def search(
 
     partial = index.mapInPandas(exact, "query_id long, id long, score double, leaf long")
     truth = _merged(partial.select("query_id", "id", "score", "leaf"), k).toPandas()
-    order = {int(q): {x: i + 1 for i, x in enumerate(tree.visits(r, tree.n_leaves))} for q, r in zip(q_ids, _unit(q_rows), strict=True)}
+    order = {int(q): {x: i + 1 for i, x in enumerate(tree.visits(r, tree.n_leaves, held))} for q, r in zip(q_ids, _unit(q_rows), strict=True)}
     needed = np.sort([order[q][x] for q, x in zip(truth["query_id"], truth["leaf"], strict=True)])
     n_visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
     if report is not None:
-        report |= {"leaves": tree.n_leaves, "visits": n_visits, "recall": float((needed <= n_visits).mean()) if len(needed) else 1.0}
+        report |= {"leaves": int((held > 0).sum()), "largest": int(held.max()), "visits": n_visits, "recall": float((needed <= n_visits).mean()) if len(needed) else 1.0}
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for q, v, unit in zip(pdf["id"], pdf["v"], _unit(_stack(pdf["v"])) if len(pdf) else [], strict=True):
-                leaves = sent.value.visits(unit, n_visits)
+                leaves = sent.value[0].visits(unit, n_visits, sent.value[1], k + 1)
                 yield pd.DataFrame({"leaf": leaves, "query_id": q, "q": [v] * len(leaves)})
 
-    asked = scratch.write(queries.select("id", "v").mapInPandas(visit, "leaf long, query_id long, q array<double>"), "asked")
+    asked = scratch.write(queries.select("id", "v").mapInPandas(visit, f"leaf long, query_id long, q {index.schema['v'].dataType.simpleString()}"), "asked")
     parts = [x.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(n)) for x, n in ((index, "n_rows"), (asked, "n_asked"))]
     parts = F.broadcast(parts[0].join(parts[1], "leaf"))  # as many rows as the tree has leaves
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
