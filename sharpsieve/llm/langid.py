@@ -4,9 +4,12 @@ A text's vector: hashed byte n-grams (1 to 4) of its lower-cased letters, each
 log(1 + count) times the feature's inverse document frequency, at unit length.
 Document frequencies are counted over all learned documents. Each language gets up
 to `centroids` centroids by spherical k-means on a bounded sample of its documents
-(`per_lang` in expectation, drawn by a hash of id and text; the `max_langs` most
-frequent language values are learned), in a task for each language. A text gets the language of the centroid of largest cosine,
-and is `rejected` if it is farther than nearly all of that centroid's own members.
+(`per_lang` in expectation, drawn by a hash of id and text; rows that are drawn alike
+count once, and each language has its first row by that hash in any case), in a task for
+each language. All language values are learned; their centroids are scored in blocks of
+`BLOCK_LANGS` languages. A text gets the language of the centroid of largest cosine
+(ties: the first language in order), and is `rejected` if it is farther than nearly all
+of that centroid's own members. A letter is what Unicode calls one (categories L*).
 
 Defined results: null texts and texts without a letter get `und`, score 0 and
 rejected; without any learned language every text does; null languages aren't
@@ -25,18 +28,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sharpsieve.llm.common import decoded
+from sharpsieve.llm.common import Scratch, decoded
 from sharpsieve.llm.ngrams import byte_grams, pieces
 
-DIM_BITS, CENTROIDS, PER_LANG, MAX_LANGS, ROUNDS, SLACK = 13, 4, 400, 1024, 8, 0.05
+DIM_BITS, CENTROIDS, PER_LANG, BLOCK_LANGS, ROUNDS, SLACK = 13, 4, 400, 128, 8, 0.05
 DIM = 1 << DIM_BITS
 UNKNOWN = "und"
 _SHIFT = np.uint64(64 - DIM_BITS)
-_letter = re.compile(r"[^\W\d_]")
+_ascii_letter = re.compile(r"[A-Za-z]")
 #: ASCII that isn't a letter becomes a space.
 _CLEAN = bytes(x if x > 127 or chr(x).isalpha() else 32 for x in range(256))
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ascii_letter.search(text)) or any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each feature occurs."""
     out = np.zeros(DIM, np.int64)
@@ -47,12 +54,19 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+@dataclass
+class Block:
+    """The centroids of some languages, one column each."""
+
+    langs: list[str]
+    centres: np.ndarray
+    least: np.ndarray
+
+
 @dataclass
 class Model:
     idf: np.ndarray
-    langs: list[str] = field(default_factory=list)
-    centres: np.ndarray = field(default_factory=lambda: np.zeros((DIM, 0), np.float32))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    blocks: list[Block] = field(default_factory=list)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The features of a text and their values, at unit length."""
@@ -64,12 +78,16 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine, whether it is rejected."""
-        if not self.langs or not text or not _letter.search(text):
+        if not self.blocks or not text or not has_letter(text):
             return UNKNOWN, 0.0, True
         ids, values = self.vector(text)
-        cosines = values @ self.centres[ids]
-        best = int(np.argmax(cosines))
-        return self.langs[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.least[best])
+        found = (UNKNOWN, -1.0, True)
+        for block in self.blocks:
+            cosines = values @ block.centres[ids]
+            best = int(np.argmax(cosines))
+            if cosines[best] > found[1]:
+                found = block.langs[best], float(cosines[best]), bool(cosines[best] < block.least[best])
+        return found[0], min(max(found[1], 0.0), 1.0), found[2]
 
 
 def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -110,19 +128,21 @@ def _frequencies(learned: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train(
-    docs: DataFrame, *, learn: Column | None = None, centroids: int = CENTROIDS, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+    docs: DataFrame, *, learn: Column | None = None, centroids: int = CENTROIDS, per_lang: int = PER_LANG, block_langs: int = BLOCK_LANGS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
 ) -> Model:
     """learn: which rows of docs may be learned (default: all)."""
     learned = (docs if learn is None else docs.where(learn)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     learned = learned.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    per = {r._lang: r.n for r in learned.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(max_langs).collect()}
+    draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 40)) / float(1 << 40)
+    learned = learned.select("_text", "_lang", draw.alias("_draw"))
     seen, n = _frequencies(learned)
     model = Model(np.log((1 + n) / (1 + seen)) + 1)
-    if not per:
+    if not n:
         return model
     spark = docs.sparkSession
-    rates = spark.createDataFrame([(k, min(1.0, per_lang / v)) for k, v in per.items()], "_lang string, _rate double")
-    draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 40)) / float(1 << 40)
+    scratch = Scratch(spark)
+    rates = learned.groupBy("_lang").agg(F.greatest(F.min("_draw"), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("_rate"))
+    rates = scratch.write(rates, "rates")  # a table of known size: it is broadcast if that is small
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +161,26 @@ def train(
         used = [(c, dense[member == j] @ c) for j, c in enumerate(centres) if (member == j).any()]
         return pd.DataFrame([(own["lang"].iloc[0], j, c.astype(np.float32).tobytes(), float(np.quantile(near, 0.01)) - SLACK) for j, (c, near) in enumerate(used)], columns=["lang", "k", "centre", "least"])
 
-    drawn = learned.join(F.broadcast(rates), "_lang").where(draw < F.col("_rate")).select("_text", "_lang")
-    vectors = drawn.mapInArrow(run, "lang string, ids binary, vals binary")
-    got = vectors.groupBy("lang").applyInPandas(centre, "lang string, k int, centre binary, least double").orderBy("lang", "k").collect()
-    if got:
-        model.langs, model.least = [r.lang for r in got], np.array([r.least for r in got])
-        model.centres = np.ascontiguousarray(np.stack([np.frombuffer(r.centre, np.float32) for r in got], axis=1))
+    drawn = learned.join(rates, "_lang").where(F.col("_draw") <= F.col("_rate")).groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
+    vectors = drawn.select("_text", "_lang").mapInArrow(run, "lang string, ids binary, vals binary")
+    got = vectors.groupBy("lang").applyInPandas(centre, "lang string, k int, centre binary, least double")
+    got = scratch.write(got, "centroids").orderBy("lang", "k")
+    part: list = []
+    for r in got.toLocalIterator():
+        if part and r.lang != part[-1].lang and len({x.lang for x in part}) == block_langs:
+            model.blocks.append(_block(part))
+            part = []
+        part.append(r)
+    if part:
+        model.blocks.append(_block(part))
     return model
 
 
+def _block(rows: list) -> Block:
+    centres = np.ascontiguousarray(np.stack([np.frombuffer(r.centre, np.float32) for r in rows], axis=1))
+    return Block([r.lang for r in rows], centres, np.array([r.least for r in rows]))
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, rejected: a row for each document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
