@@ -60,10 +60,10 @@ def format_windows(conversations: DataFrame, *, budget: int = 512, history: int
     head, body = F.concat(F.lit("### "), escape_role(role), F.lit(":\n")), escape(text)
     turns = conversations.select(
         "conv_id", "turn", F.concat(head, body, F.lit(END)).alias("seg"), F.length(head).alias("head"), F.length(body).alias("body"),
-        (role == "assistant").alias("target"), (role == "system").alias("system"),
+        (role == "assistant").alias("target"), (role == "system").alias("system"), role.alias("role"), text.alias("text"),
     )
     turns = turns.withColumn("chars", F.length("seg").cast("long")).withColumn("tokens", F.ceil(F.col("chars") / chars_per_token))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "seg")
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     upto = order.rowsBetween(W.unboundedPreceding, 0)
     turns = turns.select("*", F.row_number().over(order).alias("n"), F.sum("tokens").over(upto).alias("tokens_to"), F.sum("chars").over(upto).alias("chars_to"))
     kept = F.struct("n", "seg", "head", "body", "target", "chars", "tokens", "tokens_to", "chars_to")

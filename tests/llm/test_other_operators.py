@@ -40,6 +40,12 @@ def test_chat_round_trip(spark, budget, history):
     assert got == wanted(rows)
 
 
+def test_chat_ties_go_by_role_and_text(spark):
+    rows = [(1, 0, "user", "Z"), (1, 0, "user", "###a"), (1, 0, "a:", "x"), (1, 0, None, None)]
+    got = chat_format.read_turns(chat_format.format_windows(talks(spark, rows))).first().turns
+    assert [(t.role, t.text) for t in got] == [("", ""), ("a:", "x"), ("user", "###a"), ("user", "Z")]
+
+
 def test_chat_windows_keep_the_budget(spark):
     rows = [(1, 0, "system", "s" * 40), *[(1, k, "user" if k % 2 else "assistant", "w" * (20 + 13 * k % 90)) for k in range(1, 60)]]
     found = chat_format.format_windows(talks(spark, rows), budget=80, history=2).orderBy("window").collect()
@@ -95,6 +101,30 @@ def test_nearest_calibrates_recall(spark):
     assert share >= 0.9 and report["visits"] < report["leaves"] / 2
 
 
+def test_nearest_tree_grows_and_prunes(spark):
+    """Fitted on few vectors, leaves split until they are small; few of them are visited on clustered vectors."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(120, 16))
+    rows = [(k, centres[k % 120] + rng.normal(size=16) * 0.3) for k in range(6000)]
+    report = {}
+    found = ann.search(vectors(spark, rows), F.col("id") % 50 == 0, leaf=20, most=300, branch=4, report=report).collect()
+    truth = best_of(rows, range(0, 6000, 50))
+    hit = {(r.query_id, r.vec_id) for r in found}
+    assert np.mean([(q, i) in hit for q, own in truth.items() for i, _ in own]) >= 0.9
+    assert report["largest"] <= ann.LARGE * 20 and report["visits"] < 0.2 * report["leaves"]
+
+
+def test_nearest_of_outliers_and_of_one_hot_vector(spark):
+    """Queries alone in their leaves get five neighbours all the same; a vector that most rows share can't be split and does no harm."""
+    rng = np.random.default_rng(3)
+    rows = [(k, np.ones(8) + rng.normal(size=8) * 1e-3) for k in range(1, 1500) if k % 50] + [(50 * k, -5 * np.eye(8)[k % 8]) for k in range(16)]
+    found = ann.search(vectors(spark, rows + [(10_001 + k, np.arange(8)) for k in range(2000) if (10_001 + k) % 50]), F.col("id") % 50 == 0, leaf=16, calibrate=1000).collect()
+    per = {}
+    for r in found:
+        per.setdefault(r.query_id, []).append(r.rank)
+    assert len(per) == 16 and all(sorted(x) == [1, 2, 3, 4, 5] for x in per.values())
+
+
 def test_nearest_edges(spark):
     assert ann.search(vectors(spark, []), F.col("id") % 50 == 0).count() == 0
     assert ann.search(vectors(spark, [(50, [1, 2])]), F.col("id") % 50 == 0).count() == 0
@@ -109,7 +139,19 @@ DATA = "/root/testdata/sf0.001"
 def test_query_runs(spark, name):
     rows = queries.QUERIES[name](spark, DATA)
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert rows.count() == (n if name.split("_")[0] in ("op1", "op2", "op3", "op7", "op8", "op10") else rows.count())
+    found, op = rows.toPandas(), name.split("_")[0]
+    if op in ("op1", "op2", "op3", "op7", "op8", "op10"):
+        assert len(found) == n
+    elif op == "op9":
+        assert set(found["conv_id"]) == {r.conv_id for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id").distinct().collect()} | {-7}
+    elif op == "op5":
+        assert all(sorted(x) == [1, 2, 3, 4, 5] for x in found.groupby("query_id")["rank"].apply(list)) and (found["query_id"] % 50 == 0).all()
+    else:  # what is found stands in the documents
+        texts = {r.doc_id: (r.text or "").lower() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+        items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+        for r in found.itertuples():
+            assert ("licensed under" in texts[r.doc_id] or "released under" in texts[r.doc_id]) if op == "op4" else items[r.item_id][1:60].lower() in texts[r.doc_id] or r.coverage < 1
+        assert len(found)
 
 
 def test_queries_match_sql(spark):

@@ -304,6 +304,58 @@ def test_language_edges(spark):
     assert nothing.predict("text")[0] == "und" and langid.predict(empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("text", ["½ ¼ ²", "① Ⅷ", "12 + 4 _ __", "", None, "٣٤"])
+def test_no_letter_is_und(spark, text):
+    model = langid.train(frame(spark, edge_rows()))
+    assert model.predict(text) == ("und", 0.0, True) and model.predict("½ é")[0] != "und"
+
+
+def test_all_languages_are_learned_in_blocks(spark):
+    """More languages than a block holds, one of them of equal rows only; block sizes don't change predictions."""
+    rng = np.random.default_rng(0)
+    pools = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for _ in range(23)]
+    rows = [(100 * k + j, " ".join(rng.choice(pools[k], 25)), f"l{k:02d}", "s") for k in range(23) for j in range(6)]
+    rows += [(9000, "zzyzx qoph zzyzx qoph", "same", "s")] * 400
+    docs = frame(spark, rows)
+    some, one = langid.train(docs, block_langs=5, per_lang=10), langid.train(docs, per_lang=10)
+    assert [len(set(b.langs)) for b in some.blocks] == [5, 5, 5, 5, 4] and len(one.blocks) == 1
+    got = {r.id: r for r in langid.predict(docs, some).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in rows)
+    for _, t, *_ in rows[::17]:
+        assert some.predict(t)[0] == one.predict(t)[0] and some.predict(t)[1] == pytest.approx(one.predict(t)[1], abs=1e-6)
+
+
+def test_language_of_a_text_of_several_pieces(spark):
+    model = langid.train(frame(spark, edge_rows()))
+    long = prose(1, 300_000)
+    n = langid.counts(long)
+    assert len(long) > 1 << 20 and n.sum() == sum(len(long.encode()) + 2 - k + 1 for k in (1, 2, 3, 4))
+    assert model.predict(long)[0] == model.predict(long[:1000])[0]
+
+
+def plain_cosines(text, model):
+    """Cosines with all centroids by dictionaries, for texts of plain letters and spaces."""
+    data = (" " + text.lower() + " ").encode()
+    grams = Counter(data[i : i + n] for n in (1, 2, 3, 4) for i in range(len(data) - n + 1))
+    slots = Counter()
+    for g, c in grams.items():
+        slots[int(langid.byte_grams(g, len(g))[0] >> np.uint64(64 - langid.DIM_BITS))] += c
+    weights = {k: math.log1p(c) * model.idf[k] for k, c in slots.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    return {(lang, j): sum(w / norm * float(b.centres[k, j]) for k, w in weights.items()) for b in model.blocks for j, lang in enumerate(b.langs)}
+
+
+def test_language_scores_against_plain_cosines(spark):
+    other = "kivu sato mire lopa nuki tero hasi wabe yodu pime".split()
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(rng.choice(WORDS if k % 2 else other, 30)), "en" if k % 2 else "xx", "s") for k in range(60)]
+    model = langid.train(frame(spark, rows))
+    for r in langid.predict(frame(spark, rows), model).collect():
+        near = plain_cosines(rows[r.id][1], model)
+        (lang, _), top = max(near.items(), key=lambda x: x[1])
+        assert r.lang_pred == lang and r.score == pytest.approx(top, abs=1e-4)
+
+
 # --- mixing
 
 
