@@ -10,6 +10,12 @@ one factor for all, and 1 at most; the factor is such that the expected tokens a
 `fraction` of all. A cell with too few tokens for its weight is taken whole, and what
 it lacks is spread over the others. Documents are drawn by a hash of seed and id.
 
+A document's topic is its form, read from the whole text in any language: counts of
+numbers, symbols, words in capitals and lines (FORMS) against its words, the first that
+passes its share, else prose. Any other column can be given instead (`topic_of`). The
+targets, what raking and the whole cells made of them, and how far raking was off at its
+end are reported (`report`).
+
 Defined results: null text has 0 tokens; documents of a cell without tokens or
 with target 0 get probability 0; equal ids get equal draws, a null id is drawn by
 its text; other columns pass through; an empty table stays empty.
@@ -28,24 +34,27 @@ from sharpsieve.llm.common import free_name
 REST = "*"
 #: Fixed shares of the registered query and of the pipeline's last stage.
 SOURCES = {"src0": 0.15, "src1": 0.05, "src2": 0.05, "src3": 0.05, REST: 0.70}
-LANGS = {"en": 0.50, "fr": 0.20, "de": 0.18, "es": 0.12, REST: 0.0}
-TOPICS = {"prose": 0.90, "table": 0.04, "shout": 0.02, "symbols": 0.02, "license": 0.02, REST: 0.0}
+LANGS = {"en": 0.50, "fr": 0.20, "de": 0.18, "es": 0.12, REST: None}
+TOPICS = {"prose": 0.94, "symbols": 0.03, "capitals": 0.02, "lines": 0.005, "figures": 0.005, REST: 0.0}
 FRACTION, ROUNDS, TOLERANCE = 0.5, 25, 1e-12
 
 
-def topic(text: Column) -> Column:
-    """A document's topic by its form, in this order; the rest is prose."""
-    return (
-        F.when(text.contains(" | "), "table")
-        .when(text.contains("!! "), "shout")
-        .when(text.contains("$$$ ") | text.contains("### "), "symbols")
-        .when(text.contains("icensed under") | text.contains("eleased under"), "license")
-        .otherwise("prose")
-    )
+#: Forms of text: a pattern, and of how many words at most there is one occurrence; in this order.
+FORMS = {"figures": ("[0-9]+", 4), "symbols": (r"[#$%&*+/<=>@\[\]^_`{|}~\\]", 4), "capitals": ("[A-Z]{2,}", 4), "lines": (r"\n", 8)}
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+
+
+def topic(counts: Mapping[str, Column], words: Column) -> Column:
+    """The first form that passes its share, or prose. counts: occurrences of each form's pattern; lines are one more than their feeds."""
+    found = None
+    for name, (_, share) in FORMS.items():
+        n = counts[name] + (1 if name == "lines" else 0)
+        found = F.when(n * share > words, name) if found is None else found.when(n * share > words, name)
+    return found.otherwise("prose")
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -89,6 +98,20 @@ def goal(shares: Mapping[str, float | None], own: np.ndarray) -> np.ndarray:
     return out
 
 
+def _figures(cats: list[list[str]], goals: list[np.ndarray], tokens: np.ndarray, share: np.ndarray, prob: np.ndarray) -> dict:
+    """Of each marginal: target shares (of what there is), raked ones, and those of the expected draw; and the largest gap of raking."""
+    out: dict = {"off": 0.0}
+    for axis, name in enumerate(("source", "lang", "topic")):
+        others = tuple({0, 1, 2} - {axis})
+        target = np.where(tokens.sum(axis=others) > 0, goals[axis], 0.0)
+        target = target / target.sum() if target.sum() > 0 else target
+        raked, drawn = share.sum(axis=others), (tokens * prob).sum(axis=others)
+        out["off"] = max(out["off"], float(np.abs(raked - target).max(initial=0.0)) if share.sum() > 0 else 0.0)
+        drawn = drawn / drawn.sum() if drawn.sum() > 0 else drawn
+        out[name] = {c: {"target": float(t), "raked": float(r), "drawn": float(d)} for c, t, r, d in zip(cats[axis], target, raked, drawn, strict=True)}
+    return out
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -101,13 +124,20 @@ def mix(
     rounds: int = ROUNDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    report: dict | None = None,
 ) -> DataFrame:
     """docs with mix_source, mix_lang, mix_topic, n_tokens, weight, prob, selected (underscores in front if taken)."""
     names = {x: free_name(docs, x) for x in ("mix_source", "mix_lang", "mix_topic", "n_tokens", "weight", "prob", "selected")}
     wanted = [{**{REST: 0.0}, **x} for x in (sources, langs, topics)]
     keys = [names[x] for x in ("mix_source", "mix_lang", "mix_topic")]
-    values = [docs["source"], docs["lang"], topic(F.coalesce(docs[text_col], F.lit(""))) if topic_of is None else topic_of]
-    grouped = docs.withColumns({k: F.when(v.isin([x for x in w if x != REST]), v).otherwise(REST) for k, v, w in zip(keys, values, wanted, strict=True)} | {names["n_tokens"]: n_words(docs[text_col])})
+    counted = docs.withColumn(names["n_tokens"], n_words(docs[text_col]))
+    if topic_of is None:  # patterns are counted once a text, in a projection of their own
+        held = {name: free_name(docs, f"n_{name}") for name in FORMS}
+        counted = counted.withColumns({held[name]: F.coalesce(F.regexp_count(docs[text_col], F.lit(p)), F.lit(0)) for name, (p, _) in FORMS.items()})
+        topic_of = topic({name: F.col(c) for name, c in held.items()}, F.col(names["n_tokens"]))
+    values = [F.col("source"), F.col("lang"), topic_of]
+    grouped = counted.withColumns({k: F.when(v.isin([x for x in w if x != REST]), v).otherwise(REST) for k, v, w in zip(keys, values, wanted, strict=True)})
+    grouped = grouped.select(*docs.columns, *keys, names["n_tokens"])
 
     cats = [list(w) for w in wanted]
     tokens = np.zeros([len(c) for c in cats])
@@ -116,6 +146,8 @@ def mix(
     goals = [goal(w, tokens.sum(axis=tuple({0, 1, 2} - {axis}))) for axis, w in enumerate(wanted)]
     share = rake(tokens, goals, rounds)
     prob = probabilities(tokens, share, fraction)
+    if report is not None:
+        report |= _figures(cats, goals, tokens, share, prob)
     cells = [(*(c[i] for c, i in zip(cats, at, strict=True)), float(share[at]), float(prob[at])) for at in np.ndindex(*tokens.shape)]
     spark = docs.sparkSession
     rates = spark.createDataFrame(cells, ", ".join(f"`{k}` string" for k in (*keys,)) + f", `{names['weight']}` double, `{names['prob']}` double")
@@ -135,20 +167,23 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 def oracle(sources=SOURCES, langs=LANGS, topics=TOPICS, fraction=FRACTION, seed="mix", rounds=ROUNDS) -> str:
     """DuckDB SQL for the registered query; a pass of it for each round and marginal."""
 
-    def goals(name: str, shares: Mapping[str, float]) -> str:
-        rows = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in {**{REST: 0.0}, **shares}.items())
-        return f"goal_{name} AS (SELECT k, v / sum(v) OVER () AS v FROM (VALUES {rows}) t(k, v) WHERE k IN (SELECT {name} FROM f0))"
+    def goals(name: str, shares: Mapping[str, float | None]) -> str:
+        rows = ", ".join(f"('{k}', {v or 0.0!r}::DOUBLE)" for k, v in {**{REST: 0.0}, **shares}.items())
+        there = f"FROM (VALUES {rows}) t(k, v)"
+        if shares.get(REST, 0.0) is not None:
+            return f"goal_{name} AS (SELECT k, v / sum(v) OVER () AS v {there} WHERE k IN (SELECT {name} FROM f0))"
+        own = f"(SELECT coalesce(sum(w), 0) AS r FROM f0 WHERE {name} = '{REST}')"
+        return f"goal_{name} AS (SELECT k, CASE WHEN k = '{REST}' THEN r ELSE v * (1 - r) / sum(v) OVER () END AS v {there}, {own} WHERE k IN (SELECT {name} FROM f0))"
 
     def group(col: str, shares: Mapping[str, float]) -> str:
         inside = ", ".join(f"'{k}'" for k in shares if k != REST)
         return f"CASE WHEN {col} IN ({inside}) THEN {col} ELSE '{REST}' END"
 
-    kind = (
-        "CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!! ') THEN 'shout' WHEN contains(text, '$$$ ') OR contains(text, '### ') THEN 'symbols' "
-        "WHEN contains(text, 'icensed under') OR contains(text, 'eleased under') THEN 'license' ELSE 'prose' END"
-    )
+    kind = "CASE " + " ".join(f"WHEN (n_{name}{' + 1' if name == 'lines' else ''}) * {share} > n THEN '{name}'" for name, (_, share) in FORMS.items()) + " ELSE 'prose' END"
+    found = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) AS n_{name}" for name, p in {"words": _WORD, **{k: p for k, (p, _) in FORMS.items()}}.items())
     steps = [
-        f"d AS (SELECT doc_id, {group('source', sources)} AS s, {group('lang', langs)} AS l, {group(kind, topics)} AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)",
+        f"e AS (SELECT * RENAME (n_words AS n) FROM (SELECT doc_id, source, lang, {found} FROM documents))",
+        f"d AS (SELECT doc_id, {group('source', sources)} AS s, {group('lang', langs)} AS l, {group(kind, topics)} AS t, n FROM e)",
         "c AS (SELECT s, l, t, sum(n)::DOUBLE AS n FROM d GROUP BY ALL)",
         "f0 AS (SELECT s, l, t, n / sum(n) OVER () AS w FROM c WHERE n > 0)",
         goals("s", sources), goals("l", langs), goals("t", topics),
