@@ -157,7 +157,9 @@ class Compiler(ast.NodeVisitor):
         if isinstance(node.op, ast.Div):
             return Value("number", F.try_divide(x, y))
         if isinstance(node.op, ast.Mod):
-            return Value("number", F.when(y != 0, x - F.floor(x / F.when(y != 0, y)) * y))
+            y = F.when(y != 0, y)
+            rest = x % y  # exact, with the sign of x; the rule language takes the sign of y
+            return Value("number", F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest))
         if isinstance(node.op, ast.Pow):
             power = F.pow(x, y)
             return Value("number", F.when(~F.isnan(power) & (F.abs(power) != float("inf")), power))

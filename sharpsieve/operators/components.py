@@ -1,67 +1,33 @@
-"""Connected components: by union-find in one task up to a checked number of edges, beyond it by minimum labels with shortcuts."""
+"""Connected components by alternating large-star and small-star steps (Kiveris et al., SoCC 2014)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sharpsieve.operators.scratch import Scratch
 
-#: Edges that one task takes (some tens of MB); more are worked on by all tasks.
-ONE_TASK = 500_000
-
-
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """edges: a, b of one orderable type. node, root (the component's smallest node) for every node of an edge."""
-    scratch = Scratch(edges.sparkSession)
-    proper = scratch.write(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if proper.count() <= one_task:
-        kind = proper.schema["a"].dataType.simpleString()
-        return scratch.write(proper.coalesce(1).mapInPandas(_united, f"node {kind}, root {kind}"), "roots")
-    return _spread(proper, scratch)
-
-
-def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find with halved paths; the smaller node leads."""
-    lead: dict = {}
-
-    def find(x):
-        while lead[x] != x:
-            lead[x] = lead[lead[x]]
-            x = lead[x]
-        return x
-
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            lead.setdefault(a, a)
-            lead.setdefault(b, b)
-            a, b = sorted((find(a), find(b)))
-            lead[b] = a
-    nodes = list(lead)
-    yield pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]})
-
 
-def _spread(proper: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each round every node takes the smallest label around it, and then the label of that label, so distances halve.
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "cc") -> DataFrame:
+    """edges: columns a and b of one orderable type. Returns node, root (its component's smallest node) for every node of an edge.
 
-    A round is a table in the shared folder; only a count of changes reaches the driver.
+    One plan for every size. Nothing but counts reaches the driver; each round is a table in the shared folder.
     """
-    both = scratch.write(proper.select("a", "b").union(proper.select("b", "a")), "both")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels-0")
-    k = 0
+    scratch = scratch or Scratch(edges.sparkSession)
+    now = scratch.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    last, k = None, 0
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("around"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("root").alias("old"), F.least("root", "around").alias("near"))
-        target = labels.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        after = nearer.join(target, nearer["near"] == target["via"]).select("node", F.least("near", "beyond").alias("root"), (F.least("near", "beyond") != F.col("old")).alias("moved"))
-        after = scratch.write(after, f"labels-{k + 1}")
-        moved = after.where("moved").count()
-        labels = after.select("node", "root")
-        if k:
-            scratch.drop(f"labels-{k}")
-        if not moved:
-            return labels
-        k += 1
+        # large star: what is larger than a node, and the node, to the smallest of its neighbours
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch.write(large.where("a != b").distinct(), f"{name}-large-{k}")
+        # small star: what is smaller than a node, and the node, to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        after = scratch.write(small.where("a != b").distinct(), f"{name}-{k + 1}")
+        scratch.drop(f"{name}-{k}", f"{name}-large-{k}")
+        sign = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if sign == last or not sign[0]:
+            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(after.select(F.col("b"), F.col("b")).distinct())
+        now, last, k = after, sign, k + 1

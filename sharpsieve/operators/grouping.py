@@ -4,12 +4,14 @@ Pairs come from multi-index hashing (Norouzi, Punjani and Fleet, CVPR 2012): bit
 cut into bands, and a pair within the distance agrees in some band up to distance //
 bands bits. Each side is filed under all keys of that radius split between both
 (left probes floor(r/2) flips, right the rest), so the join is an equi-join on band
-and key and no pair is missed. Fingerprints are made distinct first, so copies never
-meet each other.
+and key and no pair is missed. How many bands follows from the number of fingerprints:
+few and wide ones file more keys, many and narrow ones meet more strangers.
+Fingerprints are made distinct first, so copies never meet each other.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +22,36 @@ from sharpsieve.functions.tiles import distance_of_arrays
 from sharpsieve.operators.components import components
 from sharpsieve.operators.scratch import Scratch
 
+#: Keys that one fingerprint is filed under in a band, at most.
+KEYS = 20_000
+
 
 def _flips(bits: int, most: int) -> list[int]:
     """All masks of at most `most` of `bits` bits."""
     return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", hash_col: str = "fingerprint", n_bits: int = 64, bands: int = 4) -> DataFrame:
-    """a, b, distance: pairs of rows (a < b) whose fingerprints (longs) differ in at most `most` bits; null fingerprints take no part."""
+def best_bands(n: int, most: int, n_bits: int = 64) -> int:
+    """The number of bands for which n fingerprints file the fewest keys and expect to meet the fewest others."""
+
+    def ball(width: int, radius: int) -> int:
+        return sum(math.comb(width, k) for k in range(radius + 1))
+
+    def cost(bands: int) -> float:
+        width, reach = -(-n_bits // bands), most // bands
+        left, right = ball(width, reach // 2), ball(width, reach - reach // 2)
+        if right > KEYS:
+            return math.inf
+        return bands * n * (left + right) + bands * float(n) * n * left * right / 2.0**width
+
+    return min(range(1, min(n_bits, most + 1) + 1), key=cost)
+
+
+def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", hash_col: str = "fingerprint", n_bits: int = 64, bands: int | None = None) -> DataFrame:
+    """a, b, distance: pairs of rows (a < b) whose fingerprints (longs) differ in at most `most` bits; null fingerprints take no part.
+
+    All pairs are its result, those of equal fingerprints too; groups need fewer (group_by_similarity).
+    """
     rows = Scratch(frames.sparkSession).write(frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")), "rows")
     close = fingerprint_pairs(rows.select("h").distinct(), most, n_bits=n_bits, bands=bands)
     other = close.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance")
@@ -37,8 +61,9 @@ def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", has
     return linked.union(same)
 
 
-def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands: int = 4) -> DataFrame:
+def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands: int | None = None) -> DataFrame:
     """h1, h2, distance: pairs (h1 < h2) of the distinct column h within the distance, each once."""
+    bands = bands or best_bands(max(distinct.count(), 1), most, n_bits)
     cuts = [k * n_bits // bands for k in range(bands + 1)]
     reach = most // bands
     near, far = reach // 2, reach - reach // 2
@@ -46,7 +71,7 @@ def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands
     def filed(rows: DataFrame, name: str, flips: int) -> DataFrame:
         keys = []
         for band, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            part = F.shiftrightunsigned(F.col("h"), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+            part = F.shiftrightunsigned(F.col("h"), low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1))
             masks = F.split(F.lit(",".join(map(str, _flips(high - low, flips)))), ",").cast("array<bigint>")  # one constant, not a tree of them
             keys.append(F.transform(masks, _filed_under(band, part)))
         return rows.select(F.col("h").alias(name), F.explode(F.concat(*keys)).alias("k")).select(name, "k.band", "k.key")
@@ -61,6 +86,26 @@ def _filed_under(band: int, part: Column):
     return lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("key"))
 
 
+def wide_pairs(distinct: DataFrame, most: int, n_bits: int) -> DataFrame:
+    """fingerprint_pairs for arrays of longs, n_bits in all: a pair within the distance is equal in one of most + 1 bands.
+
+    This prunes as long as there are far more bits than differences.
+    """
+    cuts = [k * n_bits // (most + 1) for k in range(most + 2)]
+    keys = []
+    for band, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        words = []
+        for word in range(low // 64, -(-high // 64)):
+            mask = sum(1 << b - 64 * word for b in range(max(low, 64 * word), min(high, 64 * word + 64)))
+            words.append(F.get("h", F.lit(word)).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+        keys.append(F.struct(F.lit(band).alias("band"), F.xxhash64(*words).alias("key")))
+    filed = distinct.select("h", F.explode(F.array(*keys)).alias("k")).select("h", "k.band", "k.key")
+    other = filed.select(F.col("h").alias("h2"), "band", "key")
+    gap = distance_of_arrays(F.col("h"), F.col("h2"))
+    met = filed.join(other, ["band", "key"]).where((F.col("h") < F.col("h2")) & (gap <= most))
+    return met.select(F.col("h").alias("h1"), "h2", gap.alias("distance")).distinct()
+
+
 def within_gap(a: Column, b: Column, seconds: float) -> Column:
     """False only if a gap is asked for, both times are known, and they are farther apart."""
     return F.lit(True) if seconds <= 0 else ~F.coalesce(F.abs(a - b) > seconds, F.lit(False))
@@ -71,44 +116,40 @@ def group_by_similarity(
 ) -> DataFrame:
     """id_col, group_id: for each row with a fingerprint the dense id (from 0, by first member) of its component of close pairs.
 
-    With a time gap every close pair counts for itself; without one equal
-    fingerprints are one node, so a group of copies costs no pairs.
+    Fingerprints are longs, or arrays of longs that hold n_bits. Rows of one fingerprint
+    that lie in one span of `max_gap` seconds are one node, as each two of them are
+    linked; rows without a time are a node that is linked to all nodes of its own and of
+    close fingerprints. Nodes meet those of their own and the next span, by equality, so
+    copies cost no pairs and no window holds them.
     """
     scratch = Scratch(frames.sparkSession)
-    rows = frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), (F.col(time_col) if time_col else F.lit(None).cast("double")).alias("t"))
-    rows = scratch.write(rows, "rows")  # fingerprints are computed once
-    if max_gap > 0 and time_col:
-        pairs = hamming_pairs(rows, max_distance, id_col="id", hash_col="h", n_bits=n_bits)
-        times = rows.select("id", "t")
-        timed = pairs.join(times.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(times.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        roots = components(timed.where(within_gap(F.col("ta"), F.col("tb"), max_gap)).select("a", "b"))
-        rooted = rows.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+    timed = max_gap > 0 and time_col is not None
+    time = F.col(time_col).cast("double") if timed else F.lit(None).cast("double")
+    cell = F.floor(time / max_gap) if timed else F.lit(0).cast("long")
+    rows = scratch.write(frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), time.alias("t"), cell.alias("cell")), "rows")  # fingerprints are computed once
+    nodes = scratch.write(rows.groupBy("h", "cell").agg(F.min("id").alias("node"), F.min("t").alias("first"), F.max("t").alias("last")), "nodes")
+    distinct = nodes.select("h").distinct()
+    wide = rows.schema["h"].dataType.simpleString().startswith("array")
+    close = scratch.write((wide_pairs if wide else fingerprint_pairs)(distinct, max_distance, n_bits=n_bits).select("h1", "h2"), "close")
+    if timed:
+        close = close.union(distinct.select(F.col("h").alias("h1"), F.col("h").alias("h2")))  # a fingerprint's own spans
+    one, two = (nodes.select(*(F.col(x).alias(f"{x}{n}") for x in ("h", "cell", "node", "first", "last"))) for n in (1, 2))
+    if timed:
+        steps = F.explode(F.array(*(F.col("cell1") + k for k in (-1, 0, 1))))
+        with_one = close.join(one, "h1")
+        near = with_one.where("cell1 is not null").withColumn("cell2", steps).join(two.where("cell2 is not null"), ["h2", "cell2"])
+        near = near.where((F.col("first2") - F.col("last1") <= max_gap) & (F.col("first1") - F.col("last2") <= max_gap)).select("node1", "node2")
+        untimed = with_one.where("cell1 is null").join(two, "h2").select("node1", "node2")
+        other = close.join(two.where("cell2 is null"), "h2").join(one, "h1").select("node1", "node2")
+        edges = near.union(untimed).union(other)
     else:
-        close = fingerprint_pairs(rows.select("h").distinct(), max_distance, n_bits=n_bits)
-        roots = components(close.select(F.col("h1").alias("a"), F.col("h2").alias("b")))
-        marked = rows.join(roots, F.col("h") == F.col("node"), "left").select("id", F.coalesce("root", "h").alias("mark"))
-        first = marked.groupBy("mark").agg(F.min("id").alias("root"))
-        rooted = marked.join(first, "mark").select("id", "root")
-    rooted = scratch.write(rooted, "rooted")
-    ids = dense_ids(rooted.select("root").distinct())
-    return rooted.join(ids, "root").select(F.col("id").alias(id_col), "group_id")
-
-
-def group_wide(frames: DataFrame, *, max_distance: int, max_gap: float = 0.0, id_col: str = "file_idx", hash_col: str = "fingerprint", time_col: str = "t") -> DataFrame:
-    """group_by_similarity for fingerprints of several longs (array<long>): a pair within the distance is equal in one of max_distance + 1 bands.
-
-    Bands are runs of bits, so this prunes as long as there are far more bits than differences.
-    """
-    rows = frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), F.col(time_col).alias("t"))
-    bits = F.array_join(F.transform("h", lambda x: F.lpad(F.conv(F.hex(x), 16, 2), 64, "0")), "")
-    width = F.length("bits")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(max_distance)), lambda k: F.struct(k.alias("band"), F.substring(F.col("bits"), F.floor(k * width / (max_distance + 1)).cast("int") + 1, (F.floor((k + 1) * width / (max_distance + 1)) - F.floor(k * width / (max_distance + 1))).cast("int")).alias("key")))
-    filed = rows.withColumn("bits", bits).select("id", "h", "t", F.explode(bands).alias("k")).select("id", "h", "t", "k.band", "k.key")
-    other = filed.select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.col("t").alias("t2"), "band", "key")
-    met = filed.join(other, ["band", "key"]).where((F.col("id") < F.col("id2")) & (distance_of_arrays(F.col("h"), F.col("h2")) <= max_distance) & within_gap(F.col("t"), F.col("t2"), max_gap))
-    roots = components(met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-    rooted = rows.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    return rooted.join(dense_ids(rooted.select("root").distinct()), "root").select(F.col("id").alias(id_col), "group_id")
+        edges = close.join(one, "h1").join(two, "h2").select("node1", "node2")
+    roots = components(edges.select(F.col("node1").alias("a"), F.col("node2").alias("b")), scratch).withColumnRenamed("node", "_node")
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("h", "cell", F.coalesce("root", "node").alias("root"))
+    named = scratch.write(named, "named")
+    ids = dense_ids(named.select("root").distinct())
+    of = named.join(ids, "root").select(F.col("h").alias("_h"), F.col("cell").alias("_cell"), "group_id")
+    return rows.join(of, (F.col("h") == F.col("_h")) & F.col("cell").eqNullSafe(F.col("_cell"))).select(F.col("id").alias(id_col), "group_id")
 
 
 def dense_ids(roots: DataFrame, column: str = "root", out: str = "group_id") -> DataFrame:

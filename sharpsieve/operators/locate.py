@@ -13,23 +13,30 @@ from sharpsieve.functions import boxes, paths
 from sharpsieve.schema import BOX
 
 
-def join_by_path(frames: DataFrame, records: DataFrame, value: str, *, path_col: str = "path", record_path: str = "SourceFile", out: str = "box") -> DataFrame:
-    """frames with out: the record's value by full path (lower case), else by file name if only one record has that name.
+def join_by_path(
+    frames: DataFrame, records: DataFrame, value: str, *, path_col: str = "path", record_path: str = "SourceFile", idx_col: str = "idx", out: str = "box", by_name: bool = True
+) -> DataFrame:
+    """frames with out: the record's value by full path (lower case), else by file name if only one record's path has that name.
 
-    Of records with one path the last by value counts. Left join: no frame is lost.
+    Of records with one path the last by idx_col counts (of equal ones the larger value). Left join: no frame is lost.
     """
-    keyed = records.where(F.col(value).isNotNull()).select(paths.key(F.col(record_path)).alias("_key"), F.col(value).alias("_value"))
-    whole = keyed.groupBy("_key").agg(F.max("_value").alias("_value"))
-    single = whole.groupBy(paths.name(F.col("_key")).alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.max("_value").alias("_named")).where("_n = 1").drop("_n")
-    looked = frames.withColumns({"_fkey": paths.key(F.col(path_col)), "_fname": F.lower(paths.name(F.col(path_col)))})
-    found = looked.join(whole, F.col("_fkey") == F.col("_key"), "left").join(single, F.col("_fname") == F.col("_name"), "left")
-    return found.withColumn(out, F.coalesce("_value", "_named")).select(*frames.columns, out)
-
-
-def join_by_longest_suffix(frames: DataFrame, entries: DataFrame, value: str, *, idx_col: str = "file_idx", path_col: str = "path", key_col: str = "key", out: str = "box") -> DataFrame:
-    """frames with out: the value of the entry whose key is the longest run of a path's last parts (8 at most, any case)."""
-    keyed = entries.select(F.array_join(F.transform(paths.components(F.col(key_col)), F.lower), "/").alias("_key"), F.col(value).alias("_value"))
-    keyed = keyed.groupBy("_key").agg(F.max("_value").alias("_value"))
+    keyed = records.where(F.col(value).isNotNull()).select(paths.key(F.col(record_path)).alias("_key"), F.col(value).alias("_value"), F.col(idx_col).alias("_idx"))
+    whole = keyed.groupBy("_key").agg(F.max_by("_value", F.struct("_idx", "_value")).alias("_value"))
+    looked = frames.withColumn("_fkey", paths.key(F.col(path_col)))
+    found = looked.join(whole, F.col("_fkey") == F.col("_key"), "left")
+    if not by_name:
+        return found.select(*frames.columns, F.col("_value").alias(out))
+    single = whole.groupBy(paths.name(F.col("_key")).alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.any_value("_value").alias("_named")).where("_n = 1").drop("_n")
+    found = found.join(single, F.lower(paths.name(F.col(path_col))) == F.col("_name"), "left")
+    return found.select(*frames.columns, F.coalesce("_value", "_named").alias(out))
+
+
+def join_by_longest_suffix(
+    frames: DataFrame, entries: DataFrame, value: str, *, idx_col: str = "file_idx", path_col: str = "path", key_col: str = "key", entry_idx: str = "idx", out: str = "box"
+) -> DataFrame:
+    """frames with out: the value of the entry whose key is the longest run of a path's last parts (8 at most, any case); of equal keys the last by entry_idx."""
+    keyed = entries.select(F.array_join(F.transform(paths.components(F.col(key_col)), F.lower), "/").alias("_key"), F.col(value).alias("_value"), F.col(entry_idx).alias("_order"))
+    keyed = keyed.groupBy("_key").agg(F.max_by("_value", F.struct("_order", "_value")).alias("_value"))
     tails = frames.select(F.col(idx_col).alias("_idx"), F.explode(paths.trailing_keys(F.col(path_col))).alias("_t")).select("_idx", "_t.depth", F.col("_t.key").alias("_key"))
     best = tails.join(keyed, "_key").groupBy("_idx").agg(F.max_by("_value", "depth").alias(out))  # depths of a frame differ: no ties
     return frames.join(best, F.col(idx_col) == F.col("_idx"), "left").drop("_idx")

@@ -266,8 +266,9 @@ RULES = {
     "rule_arithmetic": ("v * 2 - k + 1", "number", "v * 2 - k + 1"),
     "rule_sign": ("-v + +k", "number", "-v + k"),
     "rule_division": ("v / k", "number", "CASE WHEN k <> 0 THEN v / k END"),
-    "rule_modulo": ("k % -4 + v % 3", "number", "(k - floor(k / -4.0) * -4) + (v - floor(v / 3) * 3)"),
-    "rule_modulo_zero": ("v % k", "number", "CASE WHEN k <> 0 THEN v - floor(v / k) * k END"),
+    "rule_modulo": ("k % -4 + v % 3", "number", "CASE WHEN k > 0 THEN k - 4 ELSE k END + fmod(v, 3)"),
+    "rule_modulo_zero": ("v % k", "number", "CASE WHEN k > 0 THEN fmod(v, k) WHEN k < 0 AND fmod(v, k) > 0 THEN fmod(v, k) + k WHEN k < 0 AND v IS NOT NULL THEN 0 END"),
+    "rule_modulo_fraction": ("v % 0.1 + -v % 0.7", "number", "fmod(v, 0.1) + CASE WHEN fmod(v, 0.7) > 0 THEN 0.7 - fmod(v, 0.7) ELSE 0 END"),
     "rule_power": ("k ** 2 + (k + 3) ** -1", "number", "k * k + 1.0 / (k + 3)"),
     "rule_power_undefined": ("k ** -1", "number", "CASE WHEN k <> 0 THEN 1.0 / k END"),
     "rule_choice": ('v if kind == "click" else k', "number", "CASE WHEN coalesce(kind = 'click', false) THEN v ELSE k END"),
@@ -424,33 +425,34 @@ def pages(spark, sf) -> DataFrame:
 _NAME = "split_part(lower(url), '/', -1)"
 
 
-@query("SELECT page_id, url, (SELECT max(q.page_id) FROM pages q WHERE q.page_id % 3 = 0 AND lower(q.url) = lower(p.url))::DOUBLE AS focus FROM pages p")
+@query("""WITH r AS (SELECT lower(url) AS u, arg_max(page_id, page_id * 7 % 11 * 1000000000 + page_id) AS v FROM pages WHERE page_id % 3 = 0 GROUP BY 1)
+SELECT page_id, url, v::DOUBLE AS focus FROM pages LEFT JOIN r ON u = lower(url)""")
 def af_path_join(spark, sf):
-    """Each third page has a record under its path in capitals; without the fallback by name."""
-    records = pages(spark, sf).where(F.col("page_id") % 3 == 0).select(F.upper("url").alias("SourceFile"), F.col("page_id").alias("v"))
-    keyed = records.groupBy(paths.key(F.col("SourceFile")).alias("k")).agg(F.max("v").alias("focus"))
-    return pages(spark, sf).join(keyed, paths.key(F.col("url")) == F.col("k"), "left").select("page_id", "url", F.col("focus").cast("double").alias("focus"))
+    """Each third page has a record under its path in capitals, in an order of its own; without the fallback by name."""
+    records = pages(spark, sf).where(F.col("page_id") % 3 == 0).select(F.upper("url").alias("SourceFile"), F.col("page_id").alias("v"), (F.col("page_id") * 7 % 11).alias("idx"))
+    found = locate.join_by_path(pages(spark, sf), records, "v", path_col="url", out="focus", by_name=False)
+    return found.select("page_id", "url", F.col("focus").cast("double").alias("focus"))
 
 
 @query(f"""WITH r AS (SELECT lower(url) AS u, {_NAME} AS name, max(page_id) AS v FROM pages WHERE page_id % 2 = 0 GROUP BY ALL), s AS (SELECT name, max(v) AS v FROM r GROUP BY name HAVING count(*) = 1)
 SELECT p.page_id, coalesce(r.v, s.v)::DOUBLE AS focus FROM pages p LEFT JOIN r ON r.u = lower(p.url) LEFT JOIN s ON s.name = split_part(lower(p.url), '/', -1)""")
 def af_unique_basename(spark, sf):
     """By path, else by file name where one record only has it."""
-    records = pages(spark, sf).where(F.col("page_id") % 2 == 0).select(F.col("url").alias("SourceFile"), F.col("page_id").alias("v"))
+    records = pages(spark, sf).where(F.col("page_id") % 2 == 0).select(F.col("url").alias("SourceFile"), F.col("page_id").alias("v"), F.col("page_id").alias("idx"))
     return locate.join_by_path(pages(spark, sf), records, "v", path_col="url", out="focus").select("page_id", F.col("focus").cast("double").alias("focus"))
 
 
 _PARTS = "list_filter(string_split(lower(url), '/'), lambda x: x <> '')"
 
 
-@query(f"""WITH t AS (SELECT page_id, {_PARTS} AS p FROM pages), e AS (SELECT array_to_string(p[-(1 + page_id % 3):], '/') AS key, max(page_id) AS v FROM t WHERE page_id % 5 = 0 GROUP BY 1),
+@query(f"""WITH t AS (SELECT page_id, {_PARTS} AS p FROM pages), e AS (SELECT array_to_string(p[-(1 + page_id % 3):], '/') AS key, min(page_id) * 2 AS v FROM t WHERE page_id % 5 = 0 GROUP BY 1),
 x AS (SELECT page_id, d, array_to_string(p[-d:], '/') AS key FROM (SELECT page_id, p, unnest(range(1, least(len(p), 8) + 1)) AS d FROM t)),
 b AS (SELECT page_id, arg_max(v, d) AS v FROM x JOIN e USING (key) GROUP BY page_id)
 SELECT page_id, b.v::DOUBLE AS box FROM pages LEFT JOIN b USING (page_id)""")
 def longest_suffix_match(spark, sf):
     """Each fifth page gives an entry under its last one to three path parts."""
     parts = paths.components(F.col("url"))
-    entries = pages(spark, sf).where(F.col("page_id") % 5 == 0).select(F.array_join(F.slice(parts, -F.least(1 + F.col("page_id") % 3, F.size(parts)).cast("int"), 8), "/").alias("key"), F.col("page_id").alias("v"))
+    entries = pages(spark, sf).where(F.col("page_id") % 5 == 0).select(F.array_join(F.slice(parts, -F.least(1 + F.col("page_id") % 3, F.size(parts)).cast("int"), 8), "/").alias("key"), (F.col("page_id") * 2).alias("v"), (-F.col("page_id")).alias("idx"))
     return locate.join_by_longest_suffix(pages(spark, sf), entries, "v", idx_col="page_id", path_col="url", out="box").select("page_id", F.col("box").cast("double").alias("box"))
 
 

@@ -94,11 +94,8 @@ def grouped(measured: DataFrame, config: Config) -> DataFrame:
         return measured.withColumn("group_id", F.lit(None).cast("int"))
     bits = config.grouping.hash_size**2
     usable = measured.where(F.col("fingerprint").isNotNull()).select("file_idx", "fingerprint", capture.epoch(F.col("capture.timestamp")).alias("t"))
-    if bits <= 64:
-        frames = usable.withColumn("h", F.col("fingerprint")[0])
-        ids = grouping.group_by_similarity(frames, max_distance=config.grouping.max_distance, max_gap=config.grouping.max_time_gap_seconds, hash_col="h", time_col="t")
-    else:
-        ids = grouping.group_wide(usable, max_distance=config.grouping.max_distance, max_gap=config.grouping.max_time_gap_seconds, time_col="t")
+    frames = usable.withColumn("h", F.col("fingerprint")[0]) if bits <= 64 else usable.withColumn("h", F.col("fingerprint"))
+    ids = grouping.group_by_similarity(frames, max_distance=config.grouping.max_distance, max_gap=config.grouping.max_time_gap_seconds, hash_col="h", time_col="t", n_bits=64 * -(-bits // 64))
     return measured.join(ids, "file_idx", "left")
 
 

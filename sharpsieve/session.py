@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from sharpsieve.errors import ConfigError
+
 
 def local_session(name: str = "sharpsieve") -> SparkSession:
     """The active session, or one for this machine."""
@@ -33,12 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set and all tasks run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             path = current.get()
+        elif not spark.sparkContext._jsc.sc().isLocal():
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="sharpsieve-")
             spark.sparkContext.setCheckpointDir(path)

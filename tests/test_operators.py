@@ -42,14 +42,20 @@ def unions(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
-def test_components_against_union_find(spark, one_task):
+def test_components_against_union_find(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
     want = unions({x for e in edges for x in e}, edges)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want if k not in got)
-    assert components(spark.createDataFrame([], "a long, b long"), one_task).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_follow_the_number_of_fingerprints():
+    assert grouping.best_bands(100, 0) == 1 and grouping.best_bands(10**9, 10) <= grouping.best_bands(1000, 10)
+    for n in (10, 10**4, 10**8):
+        for most in (1, 5, 18):
+            assert 1 <= grouping.best_bands(n, most) <= most + 1
 
 
 @pytest.mark.parametrize("most", [0, 3, 10, 18])
@@ -71,12 +77,34 @@ def test_groups_are_dense_in_file_order_and_time_counts(spark):
     assert got(max_gap=10) == {0: 0, 1: 1, 2: 2, 3: 2, 5: 3}
 
 
+@pytest.mark.parametrize("gap", [7.0, 40.0])
+def test_groups_with_a_time_gap_against_all_pairs(spark, gap):
+    rng = np.random.default_rng(int(gap))
+    base = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+    rows = [(k, base[int(rng.integers(6))] ^ int(rng.choice([0, 0, 1, 6, 255 << 30])), None if k % 23 == 0 else float(rng.integers(-200, 900)) / 2) for k in range(160)]
+    near = lambda a, b: (a[1] ^ b[1]).bit_count() <= 3 and (a[2] is None or b[2] is None or abs(a[2] - b[2]) <= gap)
+    roots = unions(range(160), [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)])
+    order = {r: k for k, r in enumerate(sorted(set(roots.values())))}
+    df = spark.createDataFrame(rows, "file_idx long, fingerprint long, t double")
+    got = {r.file_idx: r.group_id for r in grouping.group_by_similarity(df, max_distance=3, max_gap=gap, time_col="t").collect()}
+    assert got == {k: order[r] for k, r in roots.items()}
+
+
+def test_a_hundred_thousand_equal_fingerprints_with_a_time_gap(spark):
+    """Copies, one each second, in two runs far apart; a row without a time would join both."""
+    df = spark.range(100_000).select(F.col("id").alias("file_idx"), F.lit(12345).cast("long").alias("fingerprint"), (F.col("id") + F.when(F.col("id") >= 60_000, 1e6).otherwise(0.0)).alias("t"))
+    got = grouping.group_by_similarity(df, max_distance=10, max_gap=60.0, time_col="t")
+    assert {r.group_id: r["count"] for r in got.groupBy("group_id").count().collect()} == {0: 60_000, 1: 40_000}
+    joined = df.union(spark.createDataFrame([(200_000, 12345, None)], "file_idx long, fingerprint long, t double"))
+    assert grouping.group_by_similarity(joined, max_distance=10, max_gap=60.0, time_col="t").select("group_id").distinct().count() == 1
+
+
 def test_wide_fingerprints_group_alike(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 3)], None) for k in range(6)]
     rows += [(10 + k, [h[0] ^ 5, h[1], h[2] ^ 1], None) for k, h, _ in rows[:3]]
     df = spark.createDataFrame(rows, "file_idx long, fingerprint array<long>, t double")
-    got = {r.file_idx: r.group_id for r in grouping.group_wide(df, max_distance=4).collect()}
+    got = {r.file_idx: r.group_id for r in grouping.group_by_similarity(df, max_distance=4, n_bits=192).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 10: 0, 11: 1, 12: 2}
 
 
@@ -143,10 +171,10 @@ def test_focus_records(spark):
 
 def test_joins_by_path(spark):
     frames = spark.createDataFrame([(0, "/L/a/DSC_1.NEF"), (1, "/L/b/DSC_1.NEF"), (2, "/other/DSC_2.nef"), (3, "/x")], "file_idx long, path string")
-    records = spark.createDataFrame([("file:///l/A/dsc_1.nef", 1), ("C:\\q\\DSC_1.NEF", 2), ("Q/dsc_2.NEF", 3), ("z", None)], "SourceFile string, v int")
+    records = spark.createDataFrame([("file:///l/A/dsc_1.nef", 9, 0), ("/l/a/DSC_1.nef", 1, 1), ("/L/a/dsc_1.NEF", None, 2), ("C:\\q\\DSC_1.NEF", 2, 3), ("Q/dsc_2.NEF", 3, 4), ("z", None, 5)], "SourceFile string, v int, idx int")
     got = {r.file_idx: r.box for r in locate.join_by_path(frames, records, "v").collect()}
-    assert got == {0: 1, 1: None, 2: 3, 3: None}
-    entries = spark.createDataFrame([("DSC_1.nef", 1), ("B/dsc_1.NEF", 2), ("other\\DSC_2.nef", 3)], "key string, v int")
+    assert got == {0: 1, 1: None, 2: 3, 3: None}  # the last record of a path that has a value
+    entries = spark.createDataFrame([("DSC_1.nef", 7, 0), ("dsc_1.NEF", 1, 1), ("B/dsc_1.NEF", 2, 2), ("other\\DSC_2.nef", 3, 3)], "key string, v int, idx int")
     assert {r.file_idx: r.box for r in locate.join_by_longest_suffix(frames, entries, "v").collect()} == {0: 1, 1: 2, 2: 3, 3: None}
 
 

@@ -77,7 +77,7 @@ def value(node, row):
 
 EXPRESSIONS = [
     "a > 3", "not a > 3", "not (a > 3 or b < 1)", "a == b", "a != b", "a == None", "a is None", "a is not None", "s == 'high'", "s != 'high'", "s in ['high', 'low']", "s not in ['high', None]",
-    "a in [0, 7, None]", "'igh' in s", "'igh' not in s", "0 <= a < 10", "a < b < n", "1 < 2 < a", "a + b * n", "a / b", "a % b", "a % -3", "a ** 2", "b ** -1", "a ** 0.5", "-a", "+n", "abs(a) + 1", "min(a, b)",
+    "a in [0, 7, None]", "'igh' in s", "'igh' not in s", "0 <= a < 10", "a < b < n", "1 < 2 < a", "a + b * n", "a / b", "a % b", "a % -3", "a % 0.1", "-a % 0.3", "b % -0.7", "1.0 % 0.1 + a", "1e300 % 3.0 + a", "-7 % 1e300 - a", "a ** 2", "b ** -1", "a ** 0.5", "-a", "+n", "abs(a) + 1", "min(a, b)",
     "max([a, b, n])", "round(a)", "round(b / 2)", "len(s)", "len([1, 2, 3])", "a if flag else b", "a if s else 1", "flag", "not flag", "flag and a", "a or s", "flag == True", "flag is True", "n if n else 'x' == s", "flag + n",
     "s + '!' == 'high!'", "a == 'x'", "None == None", "None < 1", "a < None", "n == 2 and flag or b == 3.0", "s", "''", "0", "[]", "[a]", "(a, b) == (b, a)", "True", "max(flag, n) > 0",
 ]
