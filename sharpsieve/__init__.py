@@ -1 +1,3 @@
 """Technical image-quality triage on Spark."""
+
+__version__ = "0.2.0"

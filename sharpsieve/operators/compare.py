@@ -33,7 +33,11 @@ def changes(both: DataFrame) -> DataFrame:
         F.concat_ws(" -> ", bucket(F.col("rating_before")), bucket(F.col("rating_after"))).alias("transition"),
         F.coalesce("reasons_after", F.expr("cast(array() as array<string>)")).alias("because"), F.col("idx_after").alias("idx"),
     )
-    return picked.orderBy(F.desc(F.abs("delta")), "filename", "idx")
+    return in_order(picked)
+
+
+def in_order(moved: DataFrame) -> DataFrame:
+    return moved.orderBy(F.desc(F.abs("delta")), "filename", "idx")
 
 
 def top_movers(both: DataFrame, limit: int = 20) -> DataFrame:

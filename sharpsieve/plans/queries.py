@@ -266,9 +266,9 @@ RULES = {
     "rule_arithmetic": ("v * 2 - k + 1", "number", "v * 2 - k + 1"),
     "rule_sign": ("-v + +k", "number", "-v + k"),
     "rule_division": ("v / k", "number", "CASE WHEN k <> 0 THEN v / k END"),
-    "rule_modulo": ("k % -4 + v % 3", "number", "CASE WHEN k > 0 THEN k - 4 ELSE k END + fmod(v, 3)"),
-    "rule_modulo_zero": ("v % k", "number", "CASE WHEN k > 0 THEN fmod(v, k) WHEN k < 0 AND fmod(v, k) > 0 THEN fmod(v, k) + k WHEN k < 0 AND v IS NOT NULL THEN 0 END"),
-    "rule_modulo_fraction": ("v % 0.1 + -v % 0.7", "number", "fmod(v, 0.1) + CASE WHEN fmod(v, 0.7) > 0 THEN 0.7 - fmod(v, 0.7) ELSE 0 END"),
+    "rule_modulo": ("k % -4 + v % 3", "number", "CASE WHEN k > 0 THEN k - 4 ELSE k END + v % 3.0::DOUBLE"),
+    "rule_modulo_zero": ("v % k", "number", "CASE WHEN k > 0 THEN (v % k::DOUBLE) WHEN k < 0 AND (v % k::DOUBLE) > 0 THEN (v % k::DOUBLE) + k WHEN k < 0 AND v IS NOT NULL THEN 0 END"),
+    "rule_modulo_fraction": ("v % 0.1 + -v % 0.7", "number", "v % 0.1::DOUBLE + CASE WHEN (v % 0.7::DOUBLE) > 0 THEN 0.7 - (v % 0.7::DOUBLE) ELSE 0 END"),
     "rule_power": ("k ** 2 + (k + 3) ** -1", "number", "k * k + 1.0 / (k + 3)"),
     "rule_power_undefined": ("k ** -1", "number", "CASE WHEN k <> 0 THEN 1.0 / k END"),
     "rule_choice": ('v if kind == "click" else k', "number", "CASE WHEN coalesce(kind = 'click', false) THEN v ELSE k END"),

@@ -104,9 +104,8 @@ def run(spark: SparkSession, root: str | Path, config: Config | None = None) ->
     config = config or Config()
     validate(config.rating.rules, config.rating.rank_by)
     ship(spark)
-    paths = found.discover(root, config)
     scratch = Scratch(spark)
-    frames = images.read_frames(found.file_table(spark, paths), config)
+    frames = images.read_frames(found.file_table(spark, root, config), root, config)
     measured = scratch.write(reports(detections(frames, root, config), config), "reports")
     ranked = rating.rank_in_groups(grouped(measured, config), rating.rank_score(config.rating.rank_by))
     return rating.rate(ranked, config.rating.rules).select(*REPORT)
@@ -117,7 +116,7 @@ def explain_one(spark: SparkSession, path: str | Path, config: Config | None = N
     config = config or Config()
     validate(config.rating.rules, config.rating.rank_by)
     ship(spark)
-    frames = images.read_frames(found.file_table(spark, [str(path)]), config)
+    frames = images.read_frames(found.file_table(spark, path, config), path, config)
     one = reports(detections(frames, Path(path).parent, config), config.with_values(output__include_tile_map=True))
     alone = one.withColumns({"group_id": F.lit(None).cast("int"), "group_rank": F.lit(None).cast("int"), "group_size": F.lit(1)})
     rated = rating.rate(alone, config.rating.rules)

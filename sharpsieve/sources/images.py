@@ -1,21 +1,22 @@
 """From files to measurements: headers by random access, pixels by Spark's image source, figures by one numpy pass.
 
-A file is never collected: headers are read by tasks (a few kB of each file), raw
-files' embedded JPEGs are copied to the shared folder, where the JVM decodes them
-like plain images, and pixels go from the image source straight into the kernels.
-Whatever fails becomes a row with an error.
+Neither files nor their paths pass through the driver's Python: tasks list folders and
+read headers (a few kB of each file); raw files' embedded JPEGs, and files with hidden
+names, which Spark's sources skip, are copied to the shared folder; Spark's image source
+reads that folder and the root, and each task that decodes a frame measures it, so pixels
+are never shuffled. Whatever fails becomes a row with an error.
 """
 
 from __future__ import annotations
 
 import io
-import re
 import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -26,17 +27,21 @@ from sharpsieve.functions import pixels
 from sharpsieve.operators.scratch import Scratch
 from sharpsieve.sources.bytes import Source
 from sharpsieve.sources.containers import exif_base, read_layout
+from sharpsieve.sources.files import Store, allowed_suffixes, literal
 from sharpsieve.sources.tiff import Tiff, capture_fields, merged
 
 CAPTURE = "make string, model string, lens string, iso int, aperture double, shutter_seconds double, focal_length double, focal_length_35mm double, timestamp string, orientation int"
 HEADERS = f"file_idx bigint, path string, filename string, loader string, pixels_at string, declared_width int, declared_height int, upright boolean, {CAPTURE}, error string"
 MEASURED = (
-    "file_idx bigint, frame_width int, frame_height int, tile_rows int, tile_cols int, tiles array<float>, jxx double, jyy double, jxy double, "
+    "key string, frame_width int, frame_height int, tile_rows int, tile_cols int, tiles array<float>, jxx double, jyy double, jxy double, "
     "highlight_clipped double, shadow_clipped double, dynamic_range double, mean_luma double, contrast double, "
     "salient struct<x:double,y:double,w:double,h:double>, fingerprint array<bigint>, thumbnail binary, error string"
 )
 
 
+UNDECODED = "the image would not decode"
+
+
 def decode_sensor(data: bytes) -> bytes | None:
     """The picture of a raw file's sensor at half size, upright, as PNG; None where rawpy isn't installed or can't read it."""
     try:
@@ -91,16 +96,28 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def read_headers(files: DataFrame, previews: str, sensor: bool = False) -> DataFrame:
-    """A row for each file with what its header says and where its pixels are to be read; previews: a shared folder for raw files' pictures."""
+def _hidden(path: str, root: str) -> bool:
+    """Whether Spark's sources skip a file below root."""
+    return path.startswith(root) and any(x[:1] in ("_", ".") for x in path[len(root) :].strip("/").split("/"))
+
+
+def read_headers(files: DataFrame, root: str, previews: str, sensor: bool = False) -> DataFrame:
+    """A row for each file with what its header says and where its pixels are to be read; previews: a shared folder for raw files' pictures.
+
+    A picture's name there tells its orientation, as the task that decodes it has no other row.
+    """
 
     def one(path: str, filename: str, suffix: str, file_idx: int) -> dict:
         row = {"file_idx": file_idx, "path": path, "filename": filename, "pixels_at": path}
         try:
             fields, preview = header(path, suffix, sensor)
             row |= {k: v for k, v in fields.items() if k not in row}
+            if preview is None and _hidden(path, root):
+                source = Source(path)
+                preview = source.at(0, source.size)
+                source.close()
             if preview is not None:
-                row["pixels_at"] = f"{previews}/{file_idx:012d}.jpg"
+                row["pixels_at"] = f"{previews}/{file_idx:012d}-{0 if row.get('upright') else row.get('orientation') or 0}.jpg"
                 store, place = pafs.FileSystem.from_uri(row["pixels_at"])
                 with store.open_output_stream(place) as out:
                     out.write(preview)
@@ -119,12 +136,23 @@ def read_headers(files: DataFrame, previews: str, sensor: bool = False) -> DataF
     return files.mapInArrow(run, HEADERS)
 
 
-def measure(images: DataFrame, config: Config) -> DataFrame:
-    """images: file_idx, orientation, image (of Spark's source; null or of no size if it couldn't be decoded). One row each, MEASURED."""
+def _orientation(key: str, previews: str) -> int | None:
+    """Of a decoded file: told by the name of what was copied, else by its header."""
+    if key.startswith(previews):
+        return int(key.rsplit("-", 1)[1].split(".")[0]) or None
+    source = Source(key)
+    try:
+        return _exif(source).get("orientation")
+    finally:
+        source.close()
+
+
+def measure(images: DataFrame, previews: str, config: Config) -> DataFrame:
+    """images: key, image (of Spark's source; of no size if it couldn't be decoded). One row each, MEASURED."""
     c = config
 
     def one(row: dict) -> dict:
-        rgb = pixels.orient(pixels.from_spark_image(row["height"], row["width"], row["channels"], row["data"]), row["orientation"])
+        rgb = pixels.orient(pixels.from_spark_image(row["height"], row["width"], row["channels"], row["data"]), _orientation(row["key"], previews))
         y = pixels.luma(rgb, c.input.working_edge)
         tiles = pixels.tile_map(y, c.sharpness.grid_long_edge)
         jxx, jyy, jxy = pixels.structure_tensor(y)
@@ -139,11 +167,11 @@ def measure(images: DataFrame, config: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a frame at a time: memory is one frame's
+            for i in range(batch.num_rows):  # a frame at a time: memory is one frame's and its batch's (64 MB)
                 row = batch.slice(i, 1).to_pylist()[0]
-                out = {"file_idx": row["file_idx"]}
+                out = {"key": row["key"]}
                 if not row["data"] or not row["width"] or row["width"] <= 0:
-                    out["error"] = "the image would not decode"
+                    out["error"] = UNDECODED
                 else:
                     try:
                         out |= one(row)
@@ -151,8 +179,7 @@ def measure(images: DataFrame, config: Config) -> DataFrame:
                         out["error"] = f"unexpected failure: {error!r}"
                 yield pa.RecordBatch.from_pylist([out], schema=schema)
 
-    turned = F.when(~F.coalesce("upright", F.lit(False)), F.col("orientation")).alias("orientation")
-    flat = images.select("file_idx", turned, F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    flat = images.select("key", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return flat.mapInArrow(run, MEASURED)
 
 
@@ -162,27 +189,36 @@ def plain_path(column: str) -> Column:
     return F.when(F.startswith(F.col(column), F.lit("file:")), F.regexp_replace(decoded, r"^file:/+", "/")).otherwise(F.col(column))
 
 
-def _literal(path: str) -> str:
-    """A path whose pattern characters stand for themselves."""
-    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+def _any_case(suffix: str) -> str:
+    """A pattern for file names with a suffix, small or capital letters."""
+    return "*" + "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in suffix)
+
+
+def pixel_rows(spark: SparkSession, root: str, previews: str, config: Config) -> DataFrame:
+    """key (a path without its scheme), image: what Spark's image source decodes below root, and the copied pictures."""
+    source = lambda: spark.read.format("image").option("dropInvalid", False)
+    plain = source()
+    if Store(root).kind() == "folder":
+        wanted = sorted(allowed_suffixes(config) - RAW)
+        plain = plain.option("recursiveFileLookup", config.input.recursive).option("pathGlobFilter", "{" + ",".join(map(_any_case, wanted)) + "}") if wanted else None
+    rows = source().load(literal(previews)).select("image")
+    if plain is not None:
+        rows = rows.union(plain.load(literal(root)).select("image"))
+    return rows.select(plain_path("image.origin").alias("key"), "image")
 
 
-def read_frames(files: DataFrame, config: Config) -> DataFrame:
+def read_frames(files: DataFrame, root: str | Path, config: Config) -> DataFrame:
     """Headers and measurements of each file, written once: every later step reads the table and no file is decoded twice."""
-    spark = files.sparkSession
+    spark, root = files.sparkSession, str(root)
     scratch = Scratch(spark)
     previews = f"{scratch.root}/previews"
     store, place = pafs.FileSystem.from_uri(previews)
     store.create_dir(place, recursive=True)
-    headers = scratch.write(read_headers(files, previews, config.input.prefer_raw_decode), "headers")
-    wanted = [r.pixels_at for r in headers.where("error is null").select("pixels_at").toLocalIterator()]
-    if wanted:
-        decoded = spark.read.format("image").option("dropInvalid", False).load([_literal(p) for p in wanted]).select("image")
-        decoded = decoded.withColumn("_key", plain_path("image.origin"))
-        joined = headers.where("error is null").withColumn("_key", plain_path("pixels_at")).join(decoded, "_key", "left")
-        measured = scratch.write(measure(joined, config), "measured")
-    else:
-        measured = spark.createDataFrame([], MEASURED)
-    both = headers.withColumnRenamed("error", "_header_error").join(measured.withColumnRenamed("error", "_pixel_error"), "file_idx", "left")
-    named = F.when(F.col("_pixel_error").isNotNull(), F.concat_ws(": ", "filename", "_pixel_error"))
-    return both.withColumn("error", F.coalesce("_header_error", named)).drop("_header_error", "_pixel_error")
+    tasks = max(1, spark.sparkContext.defaultParallelism * 4)
+    headers = scratch.write(read_headers(files.repartition(tasks), root, previews, config.input.prefer_raw_decode), "headers")
+    plain = place if previews.startswith("file:") else previews
+    measured = scratch.write(measure(pixel_rows(spark, root, previews, config), plain, config), "measured")
+    both = headers.withColumnRenamed("error", "_header_error").join(measured.withColumnRenamed("error", "_pixel_error"), plain_path("pixels_at") == F.col("key"), "left")
+    pixel_error = F.when(F.col("key").isNull(), UNDECODED).otherwise(F.col("_pixel_error"))
+    named = F.when(pixel_error.isNotNull(), F.concat_ws(": ", "filename", pixel_error))
+    return both.withColumn("error", F.coalesce("_header_error", named)).drop("_header_error", "_pixel_error", "key")

@@ -15,17 +15,40 @@ from sharpsieve.sources.bytes import Source
 # --- scan
 
 
-def test_discovery(tmp_path):
+def test_discovery(spark, tmp_path):
     for name in ("b.jpg", "a-b/x.png", "a/b/y.PNG", "notes.txt", ".hidden/z.jpg", "_u.tif"):
         write_png(tmp_path / name, texture(4, 4))
-    found = [p[len(str(tmp_path)) + 1 :] for p in files.discover(tmp_path, Config())]
+
+    def listed(root, config):
+        return [r.path for r in files.file_table(spark, root, config).orderBy("file_idx").collect()]
+
+    found = [p[len(str(tmp_path)) + 1 :] for p in listed(tmp_path, Config())]
     assert found == [".hidden/z.jpg", "_u.tif", "a/b/y.PNG", "a-b/x.png", "b.jpg"]
-    assert len(files.discover(tmp_path, from_dict({"input": {"recursive": False}}))) == 2
-    assert files.discover(tmp_path, from_dict({"input": {"include_suffixes": ["TXT"]}})) == [str(tmp_path / "notes.txt")]
-    assert files.discover(tmp_path / "notes.txt", Config()) == [str(tmp_path / "notes.txt")]
-    assert sorted(files.discover(f"file://{tmp_path}", Config())) == sorted(f"file://{tmp_path}/{x}" for x in found)
+    assert len(listed(tmp_path, from_dict({"input": {"recursive": False}}))) == 2
+    assert listed(tmp_path, from_dict({"input": {"include_suffixes": ["TXT"]}})) == [str(tmp_path / "notes.txt")]
+    assert listed(tmp_path / "notes.txt", Config()) == [str(tmp_path / "notes.txt")]
+    assert sorted(listed(f"file://{tmp_path}", Config())) == sorted(f"file://{tmp_path}/{x}" for x in found)
     with pytest.raises(ConfigError):
-        files.discover(tmp_path / "none", Config())
+        listed(tmp_path / "none", Config())
+
+
+def test_a_wide_and_deep_tree_is_shared_out(spark, tmp_path):
+    want = []
+    for k in range(90):
+        path = tmp_path / f"d{k % 70:02d}" / ("e" * (k % 3)) / f"{k}.jpg"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"")
+        want.append(str(path))
+    assert sorted(r.path for r in files.list_files(spark, tmp_path, Config()).collect()) == sorted(want)
+    units = files._units(files.Store(str(tmp_path)), True)
+    assert len(units) >= files.UNITS and any(deep for _, deep in units)
+
+
+def test_hidden_files_and_odd_names_are_measured(spark, tmp_path):
+    for k, name in enumerate((".hidden/z.png", "_u.png", "a b/x+y%20[1]{2}.PNG", "k=v/w.png")):
+        write_png(tmp_path / name, texture(seed=k))
+    rows = run(spark, tmp_path, Config()).collect()
+    assert len(rows) == 4 and all(r.error is None and r.width == 144 for r in rows)
 
 
 # --- containers

@@ -161,7 +161,8 @@ def test_focus_records(spark):
         {"SourceFile": "a", "AFAreaXPosition": 3000, "AFAreaYPosition": 2000, "AFAreaWidth": 984, "AFAreaHeight": 816, "ExifImageWidth": 6016, "ExifImageHeight": 4016},
         {"SourceFile": "b", "FocusPixel": "10 20", "ImageWidth": 100, "ImageHeight": 100}, {"SourceFile": "c", "AFAreaXPosition": 300, "AFAreaYPosition": 2, "ImageWidth": 100, "ImageHeight": 100}, {"SourceFile": "d", "FocusPixel": "x y", "ImageWidth": 100, "ImageHeight": 0},
     ]
-    df = files.focus_table(spark, rows)
+    df = files.focus_table(spark.createDataFrame([(json.dumps(rows),)], "value string"))
+    assert [r.SourceFile for r in df.orderBy("idx").collect()] == ["a", "b", "c", "d"]
     got = {r.SourceFile: r.b for r in df.select("SourceFile", boxes.from_focus_record({k: F.col(k) for k in files.FOCUS_FIELDS}).alias("b")).collect()}
     assert got["c"] is None and got["d"] is None and got["b"].x == pytest.approx(0.04) and got["a"].w == pytest.approx(984 / 6016) and got["a"].x == pytest.approx(3000 / 6016 - 984 / 6016 / 2)
 
@@ -240,10 +241,17 @@ def test_run_writes_everything(spark, shoot, capsys):
     assert all(line.count("\t") == 1 for line in (out / "rejects.txt").read_text().splitlines())
     sidecars = sorted(str(p.relative_to(out / "xmp")) for p in (out / "xmp").rglob("*.xmp"))
     assert sidecars == ["b.png.xmp", "s0.png.xmp", "s1.png.xmp", "sub/-b&-.png.xmp"]
-    assert (out / "xmp-manifest.txt").read_text().startswith("wrote 4 sidecar(s)")
+    assert (out / "xmp-manifest.txt").read_text() == "written\t4\nkept\t0\n"
+    from xml.etree import ElementTree
+
+    one = ElementTree.parse(out / "xmp" / "b.png.xmp").getroot()[0][0]
+    said = next(p for p in told["photos"] if p["filename"] == "b.png")
+    assert one.get("{http://ns.adobe.com/xap/1.0/}Rating") == str(said["rating"]) and one.get("{urn:sharpsieve:1.0}Reason") == "; ".join(said["reasons"])
     page = (out / "contact-sheet.html").read_text()
     assert page.count("data:image/png;base64,") == 4 and "</script>" in page and page.count("</") < 30
-    assert "analysed 4/5" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "analysed" in shown and "files_per_second" in shown and "contact-sheet.html" in shown
+    assert 'add("box"' in page and 'add("at"' in page and 'add("many"' in page
     again = cli.main(["compare", str(out / "report.json"), str(out / "report.json"), "--json"])
     assert again == 0 and json.loads(capsys.readouterr().out)["changed"] == 0
     assert cli.main(["compare", str(out / "report.json"), str(out / "report.json")]) == 0
@@ -257,7 +265,9 @@ def test_writers_spill_and_never_overwrite(spark, shoot):
     reports = run(spark, shoot / "in", config).persist()
     writers.write_all(reports, ["html", "xmp"], shoot / "out2", config)
     assert len(list((shoot / "out2" / "thumbs").iterdir())) == 4 and "data:image" not in (shoot / "out2" / "contact-sheet.html").read_text()
-    assert (shoot / "in" / "b.png.xmp").read_text() == "mine" and "skipped 1" in (shoot / "out2" / "xmp-manifest.txt").read_text()
+    assert (shoot / "in" / "b.png.xmp").read_text() == "mine" and "kept\t1" in (shoot / "out2" / "xmp-manifest.txt").read_text()
+    writers.write_all(reports, ["xmp"], shoot / "out2", config)  # again: what is its own isn't in the way
+    assert "written\t3" in (shoot / "out2" / "xmp-manifest.txt").read_text()
     with pytest.raises(ConfigError):
         writers.write_all(reports, ["pdf"], shoot / "out3", config)
     for kind in ("json", "csv", "parquet"):
@@ -268,7 +278,11 @@ def test_writers_spill_and_never_overwrite(spark, shoot):
 
 def test_other_commands(spark, shoot, tmp_path, capsys):
     assert cli.main(["explain", str(shoot / "in" / "b.png"), "--no-config"]) == 0
-    assert "rating" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "sharpness.max_local_acutance" in shown and "remarks" in shown
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert "sharpsieve" in capsys.readouterr().out
     assert cli.main(["explain", str(shoot / "in" / "bad.jpg"), "--no-config", "--json"]) == 1
     assert cli.main(["doctor", str(shoot), "--no-config"]) == 0 and cli.main(["fetch-models"]) == 0
     target = tmp_path / "sharpsieve.toml"
