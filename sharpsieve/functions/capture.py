@@ -45,15 +45,3 @@ def blur_figures(jxx: Column, jyy: Column, jxy: Column, top: Column, sharp: floa
         "dominant_axis_degrees": F.when(trace.isNull() | flat, F.lit(0.0)).otherwise(axis),
         "likely_cause": F.when(trace.isNull(), F.lit("unknown")).otherwise(cause),
     }
-
-
-def exposure_figures(value: Column, percent: float = 0.5, margin: float = 2 / 255) -> dict[str, Column]:
-    """Aggregates over values from 0 to 1: clipped shares, range between percentiles, mean and population deviation."""
-    share = lambda test: F.avg(F.when(value.isNotNull(), test.cast("int")))
-    return {
-        "highlight_clipped": share(value >= 1 - margin),
-        "shadow_clipped": share(value <= margin),
-        "dynamic_range": F.percentile(value, 1 - percent / 100) - F.percentile(value, percent / 100),
-        "mean_luma": F.avg(value),
-        "contrast": F.stddev_pop(value),
-    }

@@ -74,16 +74,6 @@ def relative(subject: Column, top: Column) -> Column:
     return F.when(top > 0, F.least(subject / top, F.lit(1.0)))
 
 
-def difference_bits(values: Column, rows: int, cols: int) -> Column:
-    """A difference hash of a grid: for each row, whether each value exceeds its left neighbour; the first bit is the highest of rows * (cols - 1).
-
-    At most 64 bits.
-    """
-    spots = [r * cols + c for r in range(rows) for c in range(1, cols)]
-    bits = F.transform(F.array(*map(F.lit, spots)), lambda i: F.when(F.get(values, i) > F.get(values, i - 1), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-
-
 def distance(a: Column, b: Column) -> Column:
     """Differing bits of two fingerprints: longs, or arrays of longs."""
     return F.bit_count(a.bitwiseXOR(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sharpsieve.operators.scratch import Scratch
+
 
 def summarise(frames: DataFrame) -> DataFrame:
     """One row: total, failed, analysed, groups, in_multi_frame_groups, subject_found; frames has group_id, group_size, error, subject_found."""
@@ -52,3 +54,15 @@ def sheet_order(key: str, descending: bool = True, kind: str = "number") -> list
         first = F.coalesce(F.col(key), F.lit("")) if kind == "text" else F.col(key)
     columns = [first, F.col("subject_background_ratio")]
     return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in columns]
+
+
+def numbered(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """rows with out: 1, 2, ... in order. Ranges are numbered apart and shifted by the counts before them, so no task sees all rows."""
+    scratch = Scratch(rows.sparkSession)
+    once = scratch.write(rows, "rows")  # dealing out by range reads its input twice
+    spread = scratch.write(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    counts = {r._part: r["count"] for r in spread.groupBy("_part").count().collect()}  # as many as there are ranges
+    shifts = [(k, sum(n for j, n in counts.items() if j < k)) for k in counts]
+    starts = rows.sparkSession.createDataFrame(shifts, "_part int, _start long")
+    at = F.col("_at") - F.col("_part").cast("long") * (1 << 33) + 1  # the id counts up from the part's own base
+    return spread.join(F.broadcast(starts), "_part").withColumn(out, at + F.col("_start")).drop("_part", "_start", "_at")

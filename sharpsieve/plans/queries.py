@@ -1,22 +1,25 @@
 """Registered queries: each operator over the star-schema tables that stand in for frames, and SQL that says the same.
 
-embeddings.embedding (64 floats) is an 8 by 8 tile grid, and the source of a 63-bit
-fingerprint; events are measurements with sources and times; labels are a second run;
+embeddings.embedding (64 floats) is an 8 by 8 tile grid, and the grey levels of a small
+picture that is measured as a decoded file is; events are measurements with sources and times; labels are a second run;
 pages have paths. Everything runs over whole tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sharpsieve.config import DEFAULT_RULES, ZONES, Rule
+from sharpsieve.config import DEFAULT_RULES, ZONES, Config, Rule
 from sharpsieve.functions import boxes, capture, paths, tiles
 from sharpsieve.functions.rules import compile_value, condition, frame_names
 from sharpsieve.operators import compare, grouping, locate, rating, summary
+from sharpsieve.operators.scratch import Scratch
+from sharpsieve.plans import run as plan
 from sharpsieve.schema import FLAT, LEAD, is_group_best
+from sharpsieve.session import ship
 from sharpsieve.sinks import names
+from sharpsieve.sources import images
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,11 +85,77 @@ def tile_subject_background(spark, sf):
     return grids(spark, sf).select("vec_id", *[F.round(c, 6).alias(k) for k, c in figures.items()])
 
 
+# --- frames from rows: pictures of 9 by 8 pixels, measured as decoded files are -----
+
+WIDE, HIGH = 9, 8
+#: Where the built pictures are said to be: names there tell the orientation, so no header is read.
+BUILT = "built/"
+MEASURING = Config().with_values(subject__detectors=["zone"], rating__rank_by="round(max_local_acutance * 51 / 100)")
+
+
+def pictures(spark, sf, broken: Column | None = None) -> DataFrame:
+    """key, image, as Spark's image source gives them: grey levels (steps of 5) from each vector's 64 values, taken round; broken ones don't decode."""
+    level = F.transform("embedding", lambda x: (F.floor(F.greatest(F.least((x.cast("double") + 0.5) * 51, F.lit(51.0)), F.lit(0.0))) * 5).cast("int"))
+    bytes_ = F.unhex(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(WIDE * HIGH - 1)), lambda i: F.array_repeat(F.lpad(F.hex(F.get("_level", i % 64)), 2, "0"), 3))), ""))
+    bad = F.lit(False) if broken is None else broken
+    size = lambda n: F.when(bad, F.lit(-1)).otherwise(F.lit(n))
+    image = F.struct(size(HIGH).alias("height"), size(WIDE).alias("width"), F.lit(3).alias("nChannels"), F.when(bad, F.lit(b"")).otherwise(bytes_).alias("data"))
+    key = F.concat(F.lit(BUILT), F.col("vec_id").cast("string"), F.lit("-0.png"))
+    return table(spark, sf, "embeddings").withColumn("_level", level).select(key.alias("key"), image.alias("image"))
+
+
+def measured(spark, sf, broken: Column | None = None) -> DataFrame:
+    """vec_id and what measuring its picture gives."""
+    ship(spark)
+    return images.measure(pictures(spark, sf, broken), BUILT, MEASURING).withColumn("vec_id", F.regexp_extract("key", r"(\d+)-0", 1).cast("long"))
+
+
+_L = "list_transform(range(0, 72), lambda i: least(floor(greatest((embedding[i % 64 + 1]::DOUBLE + 0.5) * 51, 0)), 51)::BIGINT)"
+_AT = "l[({r}) * 9 + ({c}) + 1]"
+_RESP = "list_transform(range(0, 42), lambda k: abs(9 * " + _AT.format(r="k // 7 + 1", c="k % 7 + 1") + "".join(" - " + _AT.format(r=f"k // 7 + 1 + {i}", c=f"k % 7 + 1 + {j}") for i in (-1, 0, 1) for j in (-1, 0, 1)) + "))"
+_PICTURES = f"(SELECT vec_id, label, {_L} AS l FROM embeddings)"
+
+
+@query(f"""SELECT vec_id, 6 AS tile_rows, 7 AS tile_cols, list_max(t)::BIGINT AS peak, list_sum(t)::BIGINT AS total, (list_position(t, list_max(t)) - 1)::BIGINT AS first FROM (SELECT vec_id, {_RESP} AS t FROM {_PICTURES})""")
+def frame_tiles(spark, sf):
+    """Luma, Laplacian and tile grid: each tile of so small a picture is one response, told in steps of levels."""
+    steps = F.transform("tiles", lambda x: F.round(x.cast("double") * 51 / 100).cast("long"))
+    rows = measured(spark, sf).select("vec_id", "tile_rows", "tile_cols", steps.alias("t"))
+    return rows.select("vec_id", "tile_rows", "tile_cols", F.array_max("t").alias("peak"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.array_position("t", F.array_max("t")) - 1).alias("first"))
+
+
+@query(f"""SELECT vec_id, len(list_filter(l, lambda x: x = 51))::BIGINT AS high, len(list_filter(l, lambda x: x = 0))::BIGINT AS low, list_sum(l)::BIGINT AS total,
+round((quantile_cont(x, 0.995) - quantile_cont(x, 0.005)) * 1000)::BIGINT AS range, round(stddev_pop(x), 2) AS contrast FROM (SELECT vec_id, l, unnest(l) AS x FROM {_PICTURES}) GROUP BY vec_id, l""")
+def frame_exposure(spark, sf):
+    """Clipped pixels, sum, range (in thousandths) and deviation of luma, in steps of levels."""
+    n = WIDE * HIGH
+    count = lambda c, k: F.round(F.col(c) * k).cast("long")
+    return measured(spark, sf).select(
+        "vec_id", count("highlight_clipped", n).alias("high"), count("shadow_clipped", n).alias("low"), count("mean_luma", 51 * n).alias("total"), count("dynamic_range", 51_000).alias("range"), F.round(F.col("contrast") * 51, 2).alias("contrast"),
+    )
+
+
+_GX = "CASE WHEN k % 9 = 0 THEN 2 * (l[k + 2] - l[k + 1]) WHEN k % 9 = 8 THEN 2 * (l[k + 1] - l[k]) ELSE l[k + 2] - l[k] END"
+_GY = "CASE WHEN k < 9 THEN 2 * (l[k + 10] - l[k + 1]) WHEN k >= 63 THEN 2 * (l[k + 1] - l[k - 8]) ELSE l[k + 10] - l[k - 8] END"
+
+
+@query(f"""SELECT vec_id, sum(x * x)::BIGINT AS jxx, sum(y * y)::BIGINT AS jyy, sum(x * y)::BIGINT AS jxy FROM (SELECT vec_id, unnest(list_transform(range(0, 72), lambda k: {_GX})) AS x, unnest(list_transform(range(0, 72), lambda k: {_GY})) AS y FROM {_PICTURES}) GROUP BY vec_id""")
+def frame_structure(spark, sf):
+    """The structure tensor: sums of squared half steps of levels."""
+    return measured(spark, sf).select("vec_id", *[F.round(F.col(x) * (51 * 51 * 4 * WIDE * HIGH)).cast("long").alias(x) for x in ("jxx", "jyy", "jxy")])
+
+
+@query()
+def frame_salience(spark, sf):
+    """The salient box: a spectrum of the whole picture, which SQL has no way to say; kernels are tested against numpy of their own."""
+    return measured(spark, sf).select("vec_id", *[F.round(f"salient.{x}", 6).alias(x) for x in "xywh"])
+
+
 # --- fingerprints and groups ------------------------------------------------------
 
 DISTANCE = 18
-_BITS = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN (1::HUGEINT << (63 - i)::INTEGER) ELSE 0::HUGEINT END))::BIGINT"
-_PAIRS = f"""h AS (SELECT vec_id, {_BITS} AS h FROM embeddings),
+_H = f"h AS (SELECT vec_id, CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END::BIGINT AS h FROM (SELECT vec_id, list_sum(list_transform(range(0, 64), lambda k: CASE WHEN l[k // 8 * 9 + k % 8 + 2] > l[k // 8 * 9 + k % 8 + 1] THEN (1::HUGEINT << (63 - k)::INTEGER) ELSE 0::HUGEINT END)) AS b FROM {_PICTURES}))"
+_PAIRS = f"""{_H},
 p AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.h, y.h))::INTEGER AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.h, y.h)) <= {DISTANCE})"""
 _GROUPS = f"""WITH RECURSIVE {_PAIRS},
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
@@ -96,10 +165,10 @@ g AS (SELECT vec_id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM c)""
 
 
 def hashed(spark, sf) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", tiles.difference_bits(F.col("embedding"), 1, 64).alias("fingerprint"))
+    return measured(spark, sf).select("vec_id", F.col("fingerprint")[0].alias("fingerprint"))
 
 
-@query(f"SELECT vec_id, {_BITS} AS fingerprint FROM embeddings")
+@query(f"WITH {_H} SELECT vec_id, h AS fingerprint FROM h")
 def dhash_bits(spark, sf):
     return hashed(spark, sf)
 
@@ -142,6 +211,54 @@ def group_rank_best(spark, sf):
     return ranked(spark, sf).select("vec_id", "group_id", "group_rank", "group_size", is_group_best(F.col("group_rank"), F.col("group_size")).alias("is_group_best"))
 
 
+#: The rules of runs over built pictures; thresholds lie between levels.
+FEW_RULES = (Rule("max_local_acutance >= 401", 4, "green", "crisp"), Rule("is_group_best", 3, None, "best of its group"), Rule("group_size > 1", 2, None, "beaten"), Rule("True", 1, None, "nothing else"))
+
+
+def run_of_pictures(spark, sf) -> DataFrame:
+    """A whole run over built pictures: about every tenth doesn't decode, becomes a row with an error, takes no part in groups, and is rated all the same."""
+    ship(spark)
+    name = F.concat(F.lpad(F.col("vec_id").cast("string"), 6, "0"), F.lit(".png"))
+    said = {"file_idx": F.col("vec_id"), "path": F.concat(F.lit("/shoot/"), name), "filename": name, "loader": F.lit("image"), "pixels_at": F.concat(F.lit(BUILT), F.col("vec_id").cast("string"), F.lit("-0.png"))}
+    fields = [part.split(" ") for part in images.HEADERS.split(", ")]
+    headers = table(spark, sf, "embeddings").select(*(said.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in fields))
+    head = images.joined(headers, images.measure(pictures(spark, sf, F.col("label") == 9), BUILT, MEASURING))
+    return rated_run(plan.reports(plan.detections(head, "/shoot", MEASURING), MEASURING))
+
+
+def rated_run(reports: DataFrame) -> DataFrame:
+    """Groups, ranks (while ranking, a frame is alone and has no rank) and ratings of measured reports."""
+    grouped = plan.grouped(Scratch(reports.sparkSession).write(reports, "reports"), PICTURE_RUN)
+    return rating.rate(rating.rank_in_groups(grouped, rating.rank_score(PICTURE_RUN.rating.rank_by)), FEW_RULES)
+
+
+PICTURE_RUN = MEASURING.with_values(grouping__max_distance=DISTANCE, rating__rank_by="round(max_local_acutance * 51 / 100) if group_size == 1 and group_rank is None else 0")
+_RUN = f"""WITH RECURSIVE {_H},
+u AS (SELECT vec_id, h FROM h JOIN embeddings USING (vec_id) WHERE label <> 9),
+e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id WHERE bit_count(xor(x.h, y.h)) <= {DISTANCE}),
+r(n, m) AS (SELECT vec_id, vec_id FROM u UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n),
+c AS (SELECT n AS vec_id, min(m) AS root FROM r GROUP BY n),
+g AS (SELECT vec_id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM c),
+t AS (SELECT vec_id, group_id, list_max({_RESP}) AS score FROM g JOIN {_PICTURES} USING (vec_id)),
+k AS (SELECT vec_id, group_id, score, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, vec_id) - 1 AS r, count(*) OVER (PARTITION BY group_id) AS n FROM t),
+w AS (SELECT v.vec_id, group_id, coalesce(r, 0) AS r, coalesce(n, 1) AS n, score, label = 9 AS bad FROM embeddings v LEFT JOIN k USING (vec_id))"""
+
+
+@query(f"""{_RUN} SELECT vec_id AS file_idx, CASE WHEN bad THEN 0 ELSE 9 END AS width, CASE WHEN bad THEN 0 ELSE 8 END AS height, CASE WHEN bad THEN lpad(vec_id::VARCHAR, 6, '0') || '.png: the image would not decode' END AS error,
+CASE WHEN bad THEN 'file not analysed' ELSE 'fixed region; an assumption about composition, not a measurement' END AS note, CASE WHEN bad THEN NULL ELSE 'loaded via image' END AS loaded FROM w""")
+def failed_frames(spark, sf):
+    """Files that don't decode are rows with an error, sizes of 0 and no loader."""
+    loaded = F.get(F.filter("reasons", lambda x: F.startswith(x, F.lit("loaded via"))), F.lit(0))
+    return run_of_pictures(spark, sf).select("file_idx", "width", "height", "error", F.col("detection.note").alias("note"), loaded.alias("loaded"))
+
+
+@query(f"""{_RUN} SELECT vec_id AS file_idx, group_id::DOUBLE AS group_id, r::INTEGER AS group_rank, n::INTEGER AS group_size,
+CASE WHEN NOT bad AND score * 100.0 / 51 >= 401 THEN 4 WHEN n > 1 AND r = 0 THEN 3 WHEN n > 1 THEN 2 ELSE 1 END AS rating FROM w""")
+def run_groups_and_ratings(spark, sf):
+    """Group ids go to usable frames alone; ranks come from an expression that sees each frame alone."""
+    return run_of_pictures(spark, sf).select("file_idx", F.col("group_id").cast("double").alias("group_id"), "group_rank", "group_size", "rating")
+
+
 def frames(spark, sf) -> DataFrame:
     """A flat report for each vector: figures of its tiles; labels stand for how the subject was found (0 and 1: by hand or face; 2: salience; else not)."""
     figures = subject_figures(boxes.zone("center"), least=2.0)
@@ -204,9 +321,7 @@ def rejects(spark, sf):
 WHERE coalesce(rating, 0) >= 2 AND (error IS NOT NULL OR coalesce(rating, 5) <= 2) AND contains(lower(filename), 'dsc_0')""")
 def sheet_filter_sort(spark, sf):
     rows = rated(spark, sf).where(summary.sheet_filter(least=2, problems=True, text=" DSC_0 "))
-    one = W.orderBy(*summary.sheet_order("rating"), "vec_id")
-    # the sheet is one ordered page: its rows are numbered in one task, like any page's
-    return rows.select("vec_id", "rating", F.row_number().over(one).cast("long").alias("place"))
+    return summary.numbered(rows, [*summary.sheet_order("rating"), F.col("vec_id")], "place").select("vec_id", "rating", "place")
 
 
 @query(f"""{_RATED} SELECT count(*) AS total, count(*) FILTER (error IS NOT NULL) AS failed, count(*) FILTER (error IS NULL) AS analysed, count(DISTINCT group_id) AS "groups",
@@ -304,14 +419,6 @@ def rule_over_orders(spark, sf):
 # --- measurements as columns --------------------------------------------------------
 
 
-@query("""SELECT event_type, round(avg((v >= 1 - 2.0 / 255)::INT), 6) AS highlight_clipped, round(avg((v <= 2.0 / 255)::INT), 6) AS shadow_clipped,
-round(quantile_cont(v, 0.995) - quantile_cont(v, 0.005), 6) AS dynamic_range, round(avg(v), 6) AS mean_luma, round(stddev_pop(v), 6) AS contrast
-FROM (SELECT event_type, greatest(least(value / 100, 1), 0) AS v FROM events) GROUP BY event_type""")
-def exposure_stats(spark, sf):
-    rows = table(spark, sf, "events").select("event_type", F.greatest(F.least(F.col("value") / 100, F.lit(1.0)), F.lit(0.0)).alias("v"))
-    return rows.groupBy("event_type").agg(*[F.round(c, 6).alias(k) for k, c in capture.exposure_figures(F.col("v")).items()])
-
-
 @query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN jxx + jyy <= 1e-12 THEN 0 ELSE s / (jxx + jyy) END, 6) AS anisotropy,
 CASE WHEN jxx + jyy <= 1e-12 THEN 'featureless' WHEN l_quantity >= 40 THEN 'sharp' WHEN s / (jxx + jyy) >= 0.35 THEN 'motion' ELSE 'defocus' END AS likely_cause
 FROM (SELECT *, sqrt((jxx - jyy) * (jxx - jyy) + 4 * jxy * jxy) AS s FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount AS jxx, l_tax AS jyy, l_discount * l_tax AS jxy FROM lineitem))""")
@@ -561,7 +668,7 @@ def trailing_keys(spark, sf):
     return pages(spark, sf).select("page_id", F.explode(paths.trailing_keys(F.col("url"))).alias("t")).select("page_id", "t.depth", "t.key")
 
 
-@query(f"""WITH h AS (SELECT vec_id, {_BITS} AS h FROM embeddings)
+@query(f"""WITH {_H}
 SELECT x.vec_id AS vec_id, (bit_count(xor(x.h, y.h)) + bit_count(xor(y.h, x.h)))::INTEGER AS distance FROM h x JOIN h y ON y.vec_id = x.vec_id + 1""")
 def wide_distance(spark, sf):
     """Fingerprints of two words each."""

@@ -218,6 +218,11 @@ def read_frames(files: DataFrame, root: str | Path, config: Config) -> DataFrame
     headers = scratch.write(read_headers(files.repartition(tasks), root, previews, config.input.prefer_raw_decode), "headers")
     plain = place if previews.startswith("file:") else previews
     measured = scratch.write(measure(pixel_rows(spark, root, previews, config), plain, config), "measured")
+    return joined(headers, measured)
+
+
+def joined(headers: DataFrame, measured: DataFrame) -> DataFrame:
+    """HEADERS with the measurements of their pixels; an error of either is the row's, with the file's name."""
     both = headers.withColumnRenamed("error", "_header_error").join(measured.withColumnRenamed("error", "_pixel_error"), plain_path("pixels_at") == F.col("key"), "left")
     pixel_error = F.when(F.col("key").isNull(), UNDECODED).otherwise(F.col("_pixel_error"))
     named = F.when(pixel_error.isNotNull(), F.concat_ws(": ", "filename", pixel_error))

@@ -309,7 +309,7 @@ def test_queries_match_sql(spark):
 
     from sharpsieve.plans import queries as own
 
-    assert set(own.SQL) == set(own.QUERIES)
+    assert set(own.QUERIES) - set(own.SQL) == {"frame_salience"}
     for name, sql in own.SQL.items():
         found = con.sql(sql)
         columns = sorted(found.columns)
