@@ -14,7 +14,9 @@ Equal fingerprints are one fingerprint from the start. Of a bucket of two, the p
 is compared at once. Buckets of up to `bucket` fingerprints are compared in blocks
 inside one task, which gives back a spanning forest. A larger bucket is covered
 anew on the bits that its mask leaves free, as often as needed: the bits that may
-still differ halve each time, so this ends, with no pair lost.
+still differ halve each time, so this ends, with no pair lost. A mask of what a bucket
+leaves free has to hold a bit at least, so buckets of up to 2^(2^radius - 1) fingerprints
+are compared in a task whatever `bucket` says, and the radius is 4 at most.
 
 Defined results: a null text counts as empty; without words the fingerprint is 0,
 linked like any other; rows that repeat an id give a row each; a null id belongs
@@ -36,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sharpsieve.llm.common import Scratch, encoded, free_name
-from sharpsieve.llm.components import components
+from sharpsieve.operators.components import components
 
 SEED, BITS, RADIUS, SHINGLE, BUCKET = 42, 64, 3, 3, 2048
 ALL = (1 << BITS) - 1
@@ -123,7 +125,9 @@ def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bucket
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(np.unique(pdf["fp"].to_numpy(np.int64)), radius), columns=["a", "b"], dtype="int64")
 
-    bucket = max(bucket, 1 << (1 << radius) - 1)  # then every mask of what a larger bucket leaves free holds a bit at least
+    if not 0 <= radius <= 4:
+        raise ValueError("radius has to be 0 to 4")
+    bucket = max(bucket, 1 << (1 << radius) - 1)
     rows, level, helds, found = distinct.select("fp", F.lit(0).cast("long").alias("held")), 0, [0], []
     while helds:
         spread = _covered(rows, helds, radius)
@@ -145,6 +149,11 @@ def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bucket
     return out
 
 
+def drop_links(scratch: Scratch) -> None:
+    """Drop what links has written, once its edges are read."""
+    scratch.drop(*(f"{name}-{k}" for name in ("sizes", "rows") for k in range(BITS)))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """id, th, fp (signed long), component_id, first_th: a row for each document; component_id and first_th name the component's first row."""
     scratch = Scratch(docs.sparkSession)
@@ -152,10 +161,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = scratch.write(marked.groupBy("fp").agg(F.min(place).alias("least")), "least")
     roots = components(links(least.select("fp"), scratch, radius=radius, bucket=bucket), scratch)
+    drop_links(scratch)
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.write(named, "named")
+    scratch.drop("least")
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     of = scratch.write(named.join(first, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.th").alias("first_th")), "of")
+    scratch.drop("named")
     return marked.join(of, "fp").select("id", "th", "fp", "component_id", "first_th")
 
 
