@@ -252,7 +252,7 @@ def search(
     sample = np.unique(_stack(sample["v"]), axis=0) if len(sample) else np.ones((1, sizes[0].d))
     tree = grow(_unit(sample), branch, max(1, round(leaf * len(sample) / total)))
     index, held = _filled(usable, tree, scratch, drawn, branch, leaf)
-    scratch.drop("usable")
+    scratch.drop("usable")  # the index has its rows
     sent = spark.sparkContext.broadcast((tree, held))
     queries = index.where(is_query)
 
