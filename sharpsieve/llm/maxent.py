@@ -103,7 +103,9 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: i
         for batch, texts in encoded(batches):
             learned = batch.column("learned").to_pylist()
             for i, text in enumerate(texts):
-                own = np.array([places[w] for w in text.lower().split()] + [0], np.int32)
+                words = text.lower().split()
+                own = np.zeros(len(words) + 1, np.int32)
+                own[:-1] = list(map(places.__getitem__, words))
                 ids.append(batch.column(0).slice(i, 1))
                 flags.append(bool(learned[i]))
                 lengths.append(len(own))
@@ -217,9 +219,9 @@ def features(tokens: np.ndarray, hashes: np.ndarray, classes: np.ndarray) -> lis
 
 def _exps(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The unnormalised probabilities; sums of weights stay far below what a float holds, and are bounded here in any case."""
-    out = np.take(weights[0], rows[0], axis=0)
-    for t in range(1, len(weights)):
-        out += np.take(weights[t], rows[t], axis=0)
+    out = weights[0].take(rows[0], axis=0)
+    for weight, own in zip(weights[1:], rows[1:], strict=True):
+        out += weight.take(own, axis=0)
     np.minimum(out, 80, out=out)
     return np.exp(out, out=out)
 
@@ -234,22 +236,34 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> np.n
     return out
 
 
+def _run_sums(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; two floats are added at a time, as a complex number, where the width allows it."""
+    if z.shape[1] % 2:
+        return np.add.reduceat(z, starts, axis=0)
+    return np.add.reduceat(z.view(np.complex64), starts, axis=0).view(np.float32)
+
+
 def learn_batch(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, goal: np.ndarray, rate: float) -> None:
     """One Adagrad step on the summed gradient of each row that a batch holds."""
     z = _exps(weights, rows)
-    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
-    z[np.arange(len(z)), goal] -= 1
-    for t in range(len(weights)):
-        order = np.argsort(rows[t], kind="stable")
-        own = rows[t][order]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        used, sums, n = own[starts], np.add.reduceat(np.take(z, order, axis=0), starts, axis=0), np.diff(np.append(starts, len(own)))
-        seen[t, used] += n
-        total = np.take(squares[t], used, axis=0) + sums * sums
-        squares[t, used] = total
+    ones = np.ones(len(z), np.float32)
+    z /= (z @ ones[: z.shape[1]])[:, None] if len(z) >= z.shape[1] else z.sum(axis=1, keepdims=True)
+    z.ravel()[np.arange(len(z)) * z.shape[1] + goal] -= 1
+    for own, weight, square, sight in zip(rows, weights, squares, seen, strict=True):
+        if not own.any():  # all of one row
+            used, sums, n = np.zeros(1, np.int64), (ones @ z)[None], len(z)
+        else:
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            used, sums, n = own[starts].astype(np.int64), _run_sums(z.take(order, axis=0), starts), np.diff(starts, append=len(own))
+        sight[used] += n
+        total = square.take(used, axis=0)
+        total += sums * sums
+        square[used] = total
         sums *= rate
-        sums /= np.sqrt(total)
-        weights[t, used] -= sums
+        sums /= np.sqrt(total, out=total)
+        weight[used] -= sums
 
 
 def numbers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
