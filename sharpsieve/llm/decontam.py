@@ -49,7 +49,7 @@ from sharpsieve.llm.common import Scratch, decoded
 
 WINDOW, LITERALS, LEAST, COVERAGE = 8, 4, 4, 0.6
 #: Bits of the largest bit table; smaller benchmarks get at least SPARE bits a window.
-BITS, SPARE = 27, 64
+BITS, SPARE = 27, 1024
 #: Units of measure that count after a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
