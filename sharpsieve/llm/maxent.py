@@ -52,7 +52,7 @@ BLOCK, ROW_BITS, CLASSES, SLOTS, REST, TOP, OWN_TOP, ROUNDS = 2_000_000, 13, 32,
 TABLES = ("always", "word 1 before", "word 2 before", "words 1 and 2 before", "classes 1 to 3 before")
 SLOT_TABLES = ("class", "class, word 1 before", "class, word 2 before")
 #: START: what a row's squared gradients start from, so that rows seen seldom move little.
-SPELL_BITS, BATCH, RATE, START, FAN = 10, 4096, 0.3, 10.0, 64
+SPELL_BITS, BATCH, RATE, START, FAN, RUN = 10, 4096, 0.3, 10.0, 64, 1 << 18
 ROWS = 1 << ROW_BITS
 END = b"\n"
 _M = np.uint32(0x9E3779B1)
@@ -273,6 +273,25 @@ def numbers(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(data, "<i8", n), codes >> _CLASS, codes >> _SLOT & 31, (codes >> _HASH & 0xFFFFF).astype(np.uint32) * _M
 
 
+def _runs(lengths: list[int], most: int = RUN) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last, first token, last) of runs of whole texts of about `most` tokens, so that a block's features are never held all at once."""
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(ends):
+        start = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield a, b, start, int(ends[b - 1])
+        a = b
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    """A row at a time, with its record."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            yield row, row.to_pylist()[0]
+
+
 def _row(record: dict, key: str, kind: type) -> np.ndarray:
     return np.frombuffer(record[key], kind)
 
@@ -285,13 +304,15 @@ def _updates(ready: DataFrame, weights: list[np.ndarray], part: int, rounds: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, squares = [w.copy() for w in sent.value], [np.full_like(w, START) for w in sent.value]
         seen = [np.zeros(w.shape[:2], np.int64) for w in now]
-        for batch in batches:
-            for record in batch.to_pylist():
-                tokens, (_, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
-                flags = np.array(record["learned"], bool) & (np.arange(len(record["learned"])) % rounds == part)
-                mine = np.repeat(flags, record["lengths"])
-                rows = [x[:, mine] for x in features(tokens, hashes, classes)]
-                goals = [x[tokens[mine]] for x in (classes, slots)]
+        for _, record in _rows(batches):
+            tokens, (_, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
+            flags = np.array(record["learned"], bool) & (np.arange(len(record["learned"])) % rounds == part)
+            for a, b, i, j in _runs(record["lengths"]):
+                mine = np.repeat(flags[a:b], record["lengths"][a:b])
+                if not mine.any():
+                    continue
+                rows = [x[:, mine] for x in features(tokens[i:j], hashes, classes)]
+                goals = [x[tokens[i:j][mine]] for x in (classes, slots)]
                 for k, (own, goal) in enumerate(zip(rows, goals, strict=True)):
                     for at in range(0, len(goal), BATCH):
                         learn_batch(now[k], squares[k], seen[k], own[:, at : at + BATCH], goal[at : at + BATCH], rate)
@@ -419,18 +440,20 @@ def score(
         report |= {"weights": weights, "classes": named, "cell_n": cell_n, "cell_v": cell_v}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, record in enumerate(batch.to_pylist()):
-                tokens, (c, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
-                word = np.log10(c + 0.5)
-                starts = np.concatenate(([0], np.cumsum(record["lengths"])[:-1])).astype(np.int64)
-                base = np.add.reduceat((word - all_n)[tokens], starts)
-                inside = np.add.reduceat((word - cell_log[classes * SLOTS + slots])[tokens], starts)
-                chosen = sum(log_softmax(w, rows, goal[tokens]) for w, rows, goal in zip(model.value, features(tokens, hashes, classes), (classes, slots), strict=True))
-                chosen = np.add.reduceat(chosen, starts) / np.log(10)
-                n_known = np.add.reduceat((c > 0).astype(np.int64)[tokens], starts)
-                ids = batch.column("ids").slice(i, 1).flatten()
-                cols = [ids, pa.array(record["learned"], pa.bool_()), pa.array(record["lengths"], pa.int64()), pa.array(n_known), pa.array(np.full(len(ids), big_n, np.int64)), pa.array(base), pa.array(inside + chosen)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row, record in _rows(batches):
+            tokens, (c, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
+            word, lengths = np.log10(c + 0.5), record["lengths"]
+            inside = word - cell_log[classes * SLOTS + slots]
+            sums = []
+            for a, b, i, j in _runs(lengths):
+                own = tokens[i:j]
+                starts = np.concatenate(([0], np.cumsum(lengths[a:b])[:-1])).astype(np.int64)
+                chosen = sum(log_softmax(w, rows, goal[own]) for w, rows, goal in zip(model.value, features(own, hashes, classes), (classes, slots), strict=True))
+                values = (c > 0).astype(np.int64)[own], (word - all_n)[own], inside[own] + chosen / np.log(10)
+                sums.append([np.add.reduceat(x, starts) for x in values])
+            n_known, base, score_ = (np.concatenate(x) for x in zip(*sums, strict=True))
+            ids = row.column("ids").flatten()
+            cols = [ids, pa.array(record["learned"], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(np.full(len(ids), big_n, np.int64)), pa.array(base), pa.array(score_)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return ready.mapInArrow(run, f"id {kind.simpleString()}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
