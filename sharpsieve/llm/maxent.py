@@ -158,11 +158,12 @@ class Classes:
     def of(self, words: list[bytes]) -> np.ndarray:
         """The class of each word; the end has the last."""
         out = np.zeros(len(words), np.int32)
+        wide = np.pad(self.centres, ((0, 0), (0, self.centres.shape[1] % 2)))
         for at in range(0, len(words), 4096):
             part = [b"" if w == END else w for w in words[at : at + 4096]]
             grams, owners = spelling(part)
-            sums = np.add.reduceat(self.centres[grams], np.searchsorted(owners, np.arange(len(part))), axis=0)
-            out[at : at + len(part)] = np.argmax(sums, axis=1)
+            sums = _run_sums(wide.take(grams, axis=0), np.searchsorted(owners, np.arange(len(part))))
+            out[at : at + len(part)] = np.argmax(sums[:, : self.n - 1], axis=1)
         out[[i for i, w in enumerate(words) if w == END]] = self.centres.shape[1]
         return out
 
@@ -307,15 +308,13 @@ def _updates(ready: DataFrame, weights: list[np.ndarray], part: int, rounds: int
         for _, record in _rows(batches):
             tokens, (_, classes, slots, hashes) = unpack(record["tokens"]), numbers(record["words"])
             flags = np.array(record["learned"], bool) & (np.arange(len(record["learned"])) % rounds == part)
-            for a, b, i, j in _runs(record["lengths"]):
-                mine = np.repeat(flags[a:b], record["lengths"][a:b])
-                if not mine.any():
-                    continue
-                rows = [x[:, mine] for x in features(tokens[i:j], hashes, classes)]
-                goals = [x[tokens[i:j][mine]] for x in (classes, slots)]
-                for k, (own, goal) in enumerate(zip(rows, goals, strict=True)):
+            lengths = np.array(record["lengths"], np.int64)
+            mine, lengths = tokens[np.repeat(flags, lengths)], lengths[flags]
+            for _, _, i, j in _runs(lengths):
+                own = mine[i:j]
+                for k, (rows, goal) in enumerate(zip(features(own, hashes, classes), (classes[own], slots[own]), strict=True)):
                     for at in range(0, len(goal), BATCH):
-                        learn_batch(now[k], squares[k], seen[k], own[:, at : at + BATCH], goal[at : at + BATCH], rate)
+                        learn_batch(now[k], squares[k], seen[k], rows[:, at : at + BATCH], goal[at : at + BATCH], rate)
         task = TaskContext.get().partitionId()
         for k, start in enumerate(sent.value):
             for t in range(start.shape[0]):
