@@ -90,10 +90,21 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray
     return weight, bias
 
 
+def _parts(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """Views of one array, as long as the arrays of `like`: one allocation, given back to the system as a whole."""
+    ends = np.cumsum([len(x) for x in like])
+    return [flat[end - len(x) : end] for end, x in zip(ends, like, strict=True)]
+
+
 def _fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    ratio = ratios(rows, labels)
-    values = [ratio[x].astype(np.float32) for x in rows]
-    values = [v / n if (n := np.sqrt(np.dot(v, v))) > 0 else v for v in values]
+    ratio = ratios(rows, labels).astype(np.float32)
+    values = _parts(np.empty(sum(map(len, rows)), np.float32), rows)
+    for x, v in zip(rows, values, strict=True):
+        np.take(ratio, x, out=v)
+        n = np.sqrt(np.dot(v, v))
+        if n > 0:
+            v /= n
+    ratio = ratio.astype(np.float64)
     return Model(ratio, *descend(rows, values, labels), 1.0, 0.0)
 
 
@@ -145,7 +156,14 @@ def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, la
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "id").select("_text", "label", F.xxhash64("id", "_text").alias("h"))
     got = rows.mapInArrow(run, "bits binary, label int, h long").orderBy("h", "bits").limit(2 * most).collect()  # more than `most` only where ids repeat
-    return fit([np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))).astype(np.uint16) for r in got], np.array([r.label for r in got], float))
+    sets, truth = [np.frombuffer(r.bits, np.uint8) for r in got], np.array([r.label for r in got], float)
+    del got
+    sizes = [int(np.bitwise_count(x).sum()) for x in sets]
+    found = _parts(np.empty(sum(sizes), np.uint16), [range(n) for n in sizes])
+    for x, own in zip(sets, found, strict=True):
+        own[:] = np.flatnonzero(np.unpackbits(x))
+    del sets
+    return fit(found, truth)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
