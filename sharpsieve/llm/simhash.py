@@ -100,6 +100,17 @@ def _covered(rows: DataFrame, helds: list[int], radius: int) -> DataFrame:
     return rows.select("fp", F.explode(kinds).alias("held")).select("fp", "held", F.col("fp").bitwiseAND(F.col("held")).alias("key"))
 
 
+def stars(distinct: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """a, b: in each bucket of each covering mask, the smallest fingerprint with the others that are within the radius.
+
+    Every pair within the radius shares a bucket, but is given only where one of both is its smallest; links gives all that connects.
+    """
+    spread = _covered(distinct.select("fp", F.lit(0).cast("long").alias("held")), [0], radius)
+    least = spread.groupBy("held", "key").agg(F.min("fp").alias("a"))
+    met = spread.join(least, ["held", "key"]).where("fp != a").select("a", F.col("fp").alias("b"))
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+
+
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that join all fingerprints linked by pairs within the radius, fewer than there are fingerprints."""
     bits, left, out = fps.view(np.uint64), np.arange(len(fps)), []
@@ -149,11 +160,6 @@ def links(distinct: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bucket
     return out
 
 
-def drop_links(scratch: Scratch) -> None:
-    """Drop what links has written, once its edges are read."""
-    scratch.drop(*(f"{name}-{k}" for name in ("sizes", "rows") for k in range(BITS)))
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """id, th, fp (signed long), component_id, first_th: a row for each document; component_id and first_th name the component's first row."""
     scratch = Scratch(docs.sparkSession)
@@ -161,7 +167,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     least = scratch.write(marked.groupBy("fp").agg(F.min(place).alias("least")), "least")
     roots = components(links(least.select("fp"), scratch, radius=radius, bucket=bucket), scratch)
-    drop_links(scratch)
+    scratch.drop(*(f"{name}-{k}" for name in ("sizes", "rows") for k in range(BITS)))  # what links has written
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.write(named, "named")
     scratch.drop("least")
