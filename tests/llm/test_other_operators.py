@@ -168,7 +168,7 @@ def test_queries_match_sql(spark):
 def test_pipeline_stage_by_stage(spark):
     """Each stage's rows against what its operator says of the stage's input; all but the last keep the columns."""
     pipeline = importlib.import_module("corpus_pipeline")
-    from sharpsieve.llm import decontam, line_dedup, quality, simhash
+    from sharpsieve.llm import decontam, line_dedup, near_copies, quality
     from sharpsieve.llm.common import Scratch, fold, table
 
     docs = table(spark, DATA, "documents")
@@ -183,7 +183,7 @@ def test_pipeline_stage_by_stage(spark):
             want = {i for i, r in cut.items() if r.n_removed < r.n_lines or not r.n_removed}
             assert all(r.text == cut[r.doc_id].text and r.n_chars == len(r.text) for r in out.collect())
         elif k == 2:
-            want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+            want = {r.component_id for r in near_copies.groups(docs).collect()}
         elif k == 3:
             want = {r.doc_id for r in docs.collect()} - {r.id for r in decontam.find_leaks(docs, table(spark, DATA, "benchmark")).collect()}
         else:
