@@ -12,7 +12,8 @@ hasn't seen). Both softmaxes have hashed n-grams and skips of the history as fea
 Texts are cut into blocks of tokens with a vocabulary each, written once; the words of
 these vocabularies meet in one shuffle, get their corpus counts, classes and hashes,
 and go back to their blocks as numbers, so a word is sent once a block and not once an
-occurrence. The words that classes are made from are the most frequent ones by their
+occurrence. Vocabularies are kept in pieces that tasks unpack one at a time, and numbers go
+back many to a row, so the JVM never holds or sorts a block's words as rows. The words that classes are made from are the most frequent ones by their
 counts in blocks that have them among their own first. Training takes all learned texts once, in `rounds` rounds: every task
 runs Adagrad over its blocks from the same weights, and the updates are averaged by
 how often each feature was seen, in a tree of bounded fan-in. Weights, class tables
@@ -58,6 +59,9 @@ END = b"\n"
 _M = np.uint32(0x9E3779B1)
 #: Bits of a word's code: class, slot, hash, and whether it is counted in this block.
 _CLASS, _SLOT, _HASH = 26, 21, 1
+#: What goes back to a block for each of its words; bytes of a piece of a vocabulary, of which a word takes some besides its own.
+KNOWN = np.dtype([("place", "<i4"), ("code", "<i4"), ("c", "<i8")])
+PIECE, BESIDES = 1 << 19, 64
 
 
 # --- blocks -----------------------------------------------------------------
@@ -73,8 +77,52 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
+def pieces(words: list[bytes], counts: np.ndarray) -> list[bytes]:
+    """Words and their counts as compressed pieces: the first word's place and the number of words, lengths, counts, bytes."""
+    lengths, out = np.array([len(w) for w in words], np.int64), []
+    for a, b, _, _ in _runs(lengths + BESIDES, PIECE):
+        head = np.concatenate(([a, b - a], lengths[a:b], counts[a:b])).astype("<i8")
+        out.append(zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(words[a:b])))
+    return out
+
+
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, piece): block, place, word, n, a batch for each piece."""
+    for batch in batches:
+        for block, piece in zip(batch.column("block").to_pylist(), batch.column("piece"), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(piece.as_py())
+            first, n = np.frombuffer(raw, "<i8", 2).tolist()
+            lengths, counts = np.frombuffer(raw, "<i8", 2 * n, offset=16).reshape(2, n)
+            ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw).slice(16 * (n + 1))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(first, first + n, dtype=np.int32)), words, pa.array(counts)], names=["block", "place", "word", "n"])
+
+
+def gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = RUN) -> Iterator[pa.RecordBatch]:
+    """Arrays of blocks and of KNOWN: at (the block), known (the bytes of all that goes to it), a row for each block of about `most` words."""
+
+    def flush():
+        at = np.concatenate([x for x, _ in held])
+        order = np.argsort(at, kind="stable")
+        at, rows = at[order], np.concatenate([x for _, x in held])[order]
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        ends = (np.append(starts, len(at)) * KNOWN.itemsize).astype(np.int32)
+        known = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(at[starts]), known], names=["at", "known"])
+
+    held, n = [], 0
+    for at, rows in found:
+        held.append((at, rows))
+        n += len(at)
+        if n >= most:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
+
+
 def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: int) -> DataFrame:
-    """block, ids, learned, lengths, tokens (places in words), words, counts (in learned texts), and its most frequent words."""
+    """block, ids, learned, lengths, tokens (places in words), words with counts in learned texts (in pieces), and its most frequent words."""
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_type(kind)
 
@@ -87,11 +135,11 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: i
             found = list(places)
             first = np.argsort(-counts, kind="stable")[:OWN_TOP]
             first = first[counts[first] > 0]
-            row = [[number], [flags], [lengths], [pack(own)], [found], [counts], [[found[i] for i in first]], [counts[first]]]
-            kinds = [pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            row = [[number], [flags], [lengths], [pack(own)], [pieces(found, counts)], [[found[i] for i in first]], [counts[first]]]
+            kinds = [pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64())]
             cols = [pa.array(r, t) for r, t in zip(row, kinds, strict=True)]
             every = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids))
-            return pa.RecordBatch.from_arrays([cols[0], every.cast(pa.list_(arrow)), *cols[1:]], names=["block", "ids", "learned", "lengths", "tokens", "words", "counts", "top", "top_counts"])
+            return pa.RecordBatch.from_arrays([cols[0], every.cast(pa.list_(arrow)), *cols[1:]], names=["block", "ids", "learned", "lengths", "tokens", "words", "top", "top_counts"])
 
         def fresh():
             found = defaultdict()
@@ -120,7 +168,7 @@ def _blocks(docs: DataFrame, learn: Column, id_col: str, text_col: str, block: i
             yield flush()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), learn.alias("learned"))
-    return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words array<binary>, counts array<long>, top array<binary>, top_counts array<long>")
+    return rows.mapInArrow(run, f"block long, ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words array<binary>, top array<binary>, top_counts array<long>")
 
 
 # --- classes ----------------------------------------------------------------
@@ -391,26 +439,29 @@ def score(
     n_classes, cells = named.n, named.n * SLOTS
     sent = spark.sparkContext.broadcast(named)
 
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = blocks.select("block", F.explode("words").alias("piece")).mapInArrow(spread, "block long, place int, word binary, n long")
     same = W.partitionBy("word").orderBy("block")
     counted = words.select("block", "place", "word", F.sum("n").over(W.partitionBy("word")).alias("c"), (F.row_number().over(same) == 1).alias("here"))
 
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             coded = batch.column("word").dictionary_encode()  # equal words are neighbours
             found, spots = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            codes = sent.value.codes(found)[spots] | batch.column("here").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), batch.column("c"), pa.array(codes, pa.int32())], names=["at", "place", "c", "code"])
+            rows = np.empty(batch.num_rows, KNOWN)
+            rows["place"], rows["c"] = batch.column("place").to_numpy(), batch.column("c").to_numpy()
+            rows["code"] = sent.value.codes(found)[spots] | batch.column("here").to_numpy(zero_copy_only=False)
+            yield batch.column("block").to_numpy().copy(), rows
 
-    known = counted.mapInArrow(classify, "at long, place int, c long, code int")
+    known = counted.mapInArrow(lambda batches: gathered(classify(batches)), "at long, known binary")
     schema = f"ids array<{kind.simpleString()}>, learned array<boolean>, lengths array<long>, tokens binary, words binary, cell_n array<long>, cell_v array<long>"
     kinds = {"ids": pa.list_(to_arrow_type(kind)), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "tokens": pa.binary(), "words": pa.binary(), "cell_n": pa.list_(pa.int64()), "cell_v": pa.list_(pa.int64())}
 
     def ready_block(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
-        order = np.argsort(right.column("place").to_numpy(), kind="stable")
-        c, codes = right.column("c").to_numpy()[order], right.column("code").to_numpy()[order]
+        rows = np.frombuffer(b"".join(right.column("known").to_pylist()), KNOWN)
+        rows = rows[np.argsort(rows["place"], kind="stable")]
+        c, codes = rows["c"], rows["code"]
         mine = (codes & 1 > 0) & (c > 0)
         cell = (codes >> _CLASS)[mine] * SLOTS + (codes >> _SLOT & 31)[mine]
         totals = [np.bincount(cell, weights=w, minlength=cells).astype(np.int64) for w in (c[mine], None)]

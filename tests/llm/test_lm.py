@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,37 @@ def test_held_out_texts_score_above_unigrams(fitted, spark):
 
     rows = queries.op3_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert np.mean([r.score > r.base_score for r in rows]) > 0.9
+
+
+def test_words_of_blocks_come_back_many_to_a_row(spark):
+    words = [b"\n", b"long" * 300_000, *(b"w%d" % k for k in range(20_000))]
+    counts = np.arange(len(words)) % 7
+    packed = maxent.pieces(words, counts)
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * len(packed)), pa.array(packed, pa.binary())], names=["block", "piece"])
+    found = list(maxent.spread(iter([batch])))
+    assert max(x.num_rows for x in found) < 10_000
+    assert [tuple(r.values()) for x in found for r in x.to_pylist()] == [(5, k, w, int(n)) for k, (w, n) in enumerate(zip(words, counts, strict=True))]
+
+    rng = np.random.default_rng(3)
+    sent = [(rng.integers(0, 9, 700), np.array([(k * 700 + i, i % 50, k) for i in range(700)], maxent.KNOWN)) for k in range(10)]
+    rows = [r for x in maxent.gathered(iter(sent), 2000) for r in x.to_pylist()]
+    assert len(rows) == 4 * 9  # one for each block and 2,100 words
+    back = sorted((r["at"], *map(int, x)) for r in rows for x in np.frombuffer(r["known"], maxent.KNOWN))
+    assert back == sorted((int(a), *map(int, x)) for at, own in sent for a, x in zip(at, own, strict=True))
+
+
+def test_words_are_shuffled_as_rows_once(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = gateway.new_array(gateway.jvm.double, 0)
+        stages = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(300)), "en", "s") for k in range(60)]
+    before = shuffled()
+    found = maxent.score(frame(spark, rows), learn=F.col("doc_id") % 5 != 1, classes=5, block=2000, rounds=1)
+    assert found.count() == len(rows)
+    sent = sum(n for k, n in shuffled().items() if k not in before)
+    assert 60 * 300 <= sent < 2 * 60 * 300  # the words, and the first words of blocks
