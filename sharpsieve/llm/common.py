@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sharpsieve.operators.scratch import Scratch
 
-__all__ = ["Scratch", "decoded", "encoded", "fold", "free_name", "table"]
+__all__ = ["Scratch", "decoded", "encoded", "fold", "free_name", "release", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,9 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what isn't referred to any more; it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,7 +28,6 @@ fit into memory once, a table of any number of texts doesn't.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -43,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sharpsieve.llm.common import Scratch, encoded
+from sharpsieve.llm.common import Scratch, encoded, release
 from sharpsieve.llm.langid import cluster
 from sharpsieve.llm.ngrams import byte_grams
 
@@ -408,12 +407,6 @@ def halves(data: bytes, rows: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(2, -1).T).view(np.float16).reshape(rows, -1)
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of what isn't referred to any more; it does so when its driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def start_weights(counts: np.ndarray) -> list[np.ndarray]:
     """Weights of both softmaxes that give the unigrams of classes, and of slots in them. counts: training tokens by class and slot."""
     n_classes, slots = counts.shape
@@ -477,7 +470,7 @@ def score(
     for r in by_cell:
         cell_n[r.k], cell_v[r.k] = r.n, r.v
     del blocks, words, counted, known, own, first
-    _release(spark)
+    release(spark)
 
     weights = start_weights(cell_n.reshape(n_classes, SLOTS))
     for part in range(rounds):
