@@ -26,8 +26,8 @@ def join_by_path(
     found = looked.join(whole, F.col("_fkey") == F.col("_key"), "left")
     if not by_name:
         return found.select(*frames.columns, F.col("_value").alias(out))
-    single = whole.groupBy(paths.name(F.col("_key")).alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.any_value("_value").alias("_named")).where("_n = 1").drop("_n")
-    found = found.join(single, F.lower(paths.name(F.col(path_col))) == F.col("_name"), "left")
+    single = whole.groupBy(paths.file_name(F.col("_key")).alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.any_value("_value").alias("_named")).where("_n = 1").drop("_n")
+    found = found.join(single, paths.file_name(F.col("_fkey")) == F.col("_name"), "left")
     return found.select(*frames.columns, F.coalesce("_value", "_named").alias(out))
 
 

@@ -186,6 +186,13 @@ def test_schemes_tell_paths_apart(spark):
     assert got == {0: 1, 1: None, 2: 2, 3: 2}
 
 
+def test_a_path_that_ends_in_a_slash_has_no_folder_name(spark):
+    frames = spark.createDataFrame([(0, "http://h/a/7/"), (1, "http://h/b/7"), (2, "http://h/c/8"), (3, "http://h/c/9/")], "file_idx long, path string")
+    records = spark.createDataFrame([("http://h/q/7", 1, 0), ("http://h/q/8/", 2, 1), ("http://h/r/9/", 3, 2)], "SourceFile string, v int, idx int")
+    got = {r.file_idx: r.box for r in locate.join_by_path(frames, records, "v").collect()}
+    assert got == {0: None, 1: 1, 2: None, 3: None}
+
+
 def test_comparison(spark):
     ddl = "idx int, path string, filename string, rating int, reasons array<string>"
     a = spark.createDataFrame([(0, "p", "f", 3, []), (1, "p", "f", 2, []), (2, "q", "f", None, []), (3, "", "g", 5, []), (4, "gone", "h", 1, []), (5, "s", "s", 4, [])], ddl)
