@@ -1,29 +1,42 @@
 """Near-duplicate frames: pairs of fingerprints within a distance, their components, dense group ids.
 
-Pairs come from multi-index hashing (Norouzi, Punjani and Fleet, CVPR 2012): bits are
-cut into bands, and a pair within the distance agrees in some band up to distance //
-bands bits. Each side is filed under all keys of that radius split between both
-(left probes floor(r/2) flips, right the rest), so the join is an equi-join on band
-and key and no pair is missed. How many bands follows from the number of fingerprints:
-few and wide ones file more keys, many and narrow ones meet more strangers.
+Pairs within a small distance come from multi-index hashing (Norouzi, Punjani and Fleet,
+CVPR 2012): bits are cut into bands, and a pair within the distance agrees in some band
+up to distance // bands bits. Each side is filed under all keys of that radius split
+between both (left probes floor(r/2) flips, right the rest), so the join is an equi-join
+on band and key and no pair is missed. How many bands follows from the number of
+fingerprints: few and wide ones file more keys, many and narrow ones meet more strangers.
+Within a wide distance of longs nearly all meet; where that costs more than comparing
+each with each, fingerprints are dealt into blocks, and a task compares two of them.
 Fingerprints are made distinct first, so copies never meet each other.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sharpsieve.functions import bits
 from sharpsieve.functions.tiles import distance_of_arrays
 from sharpsieve.operators.components import components
 from sharpsieve.operators.scratch import Scratch
+from sharpsieve.session import ship
 
 #: Keys that one fingerprint is filed under in a band, at most.
 KEYS = 20_000
+#: Comparisons in a block that take as long as a row that is filed or met.
+ROW = 200
+#: Fingerprints of a block, while there are fewer blocks than that (each fingerprint is sent to as many tasks as there are blocks).
+BLOCK, BLOCKS = 4096, 32
+#: Pairs of a batch that a task gives back.
+GIVEN = 100_000
 
 
 def _flips(bits: int, most: int) -> list[int]:
@@ -31,20 +44,27 @@ def _flips(bits: int, most: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def best_bands(n: int, most: int, n_bits: int = 64) -> int:
-    """The number of bands for which n fingerprints file the fewest keys and expect to meet the fewest others."""
+def _band_cost(n: int, most: int, n_bits: int, bands: int) -> float:
+    """Rows that n fingerprints file in so many bands, and expect to meet."""
 
     def ball(width: int, radius: int) -> int:
         return sum(math.comb(width, k) for k in range(radius + 1))
 
-    def cost(bands: int) -> float:
-        width, reach = -(-n_bits // bands), most // bands
-        left, right = ball(width, reach // 2), ball(width, reach - reach // 2)
-        if right > KEYS:
-            return math.inf
-        return bands * n * (left + right) + bands * float(n) * n * left * right / 2.0**width
+    width, reach = -(-n_bits // bands), most // bands
+    left, right = ball(width, reach // 2), ball(width, reach - reach // 2)
+    if right > KEYS:
+        return math.inf
+    return bands * n * (left + right) + bands * float(n) * n * left * right / 2.0**width
+
 
-    return min(range(1, min(n_bits, most + 1) + 1), key=cost)
+def best_bands(n: int, most: int, n_bits: int = 64) -> int:
+    """The number of bands for which n fingerprints file the fewest keys and expect to meet the fewest others."""
+    return min(range(1, min(n_bits, most + 1) + 1), key=lambda bands: _band_cost(n, most, n_bits, bands))
+
+
+def in_blocks(n: int, most: int, n_bits: int = 64) -> bool:
+    """Whether comparing each of n fingerprints with each takes less than bands do."""
+    return float(n) * n / 2 <= ROW * _band_cost(n, most, n_bits, best_bands(n, most, n_bits))
 
 
 def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", hash_col: str = "fingerprint", n_bits: int = 64, bands: int | None = None) -> DataFrame:
@@ -54,16 +74,20 @@ def hamming_pairs(frames: DataFrame, most: int, *, id_col: str = "file_idx", has
     """
     rows = Scratch(frames.sparkSession).write(frames.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")), "rows")
     close = fingerprint_pairs(rows.select("h").distinct(), most, n_bits=n_bits, bands=bands)
-    other = close.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "distance")
-    linked = rows.join(close.union(other), F.col("h") == F.col("h1")).select(F.col("id").alias("a"), "h2", "distance")
-    linked = linked.join(rows.select(F.col("id").alias("b"), F.col("h").alias("h2")), "h2").where("a < b").select("a", "b", "distance")
+    for side in "12":
+        close = close.join(rows.select(F.col("id").alias(f"id{side}"), F.col("h").alias(f"h{side}")), f"h{side}")
+    linked = close.where("id1 != id2").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "distance")
     same = rows.select(F.col("id").alias("a"), "h").join(rows.select(F.col("id").alias("b"), "h"), "h").where("a < b").select("a", "b", F.lit(0).cast("int").alias("distance"))
     return linked.union(same)
 
 
 def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands: int | None = None) -> DataFrame:
     """h1, h2, distance: pairs (h1 < h2) of the distinct column h within the distance, each once."""
-    bands = bands or best_bands(max(distinct.count(), 1), most, n_bits)
+    if bands is None:
+        n = max(distinct.count(), 1)
+        if in_blocks(n, most, n_bits):
+            return _compared(distinct, n, _close_pairs(most), "h1 bigint, h2 bigint, distance int")
+        bands = best_bands(n, most, n_bits)
     cuts = [k * n_bits // bands for k in range(bands + 1)]
     reach = most // bands
     near, far = reach // 2, reach - reach // 2
@@ -86,6 +110,48 @@ def _filed_under(band: int, part: Column):
     return lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("key"))
 
 
+def _compared(distinct: DataFrame, n: int, run, schema: str) -> DataFrame:
+    """What run makes of each two blocks of the column h, and of each block with itself: rows i, j (blocks, i <= j), a, b (their fingerprints)."""
+    ship(distinct.sparkSession)
+    blocks = max(1, min(BLOCKS, -(-n // BLOCK)))
+    packed = distinct.groupBy(F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("h").alias("hs"))
+    sent = packed.select("block", "hs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    sent = sent.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "hs")
+    side = lambda c: F.any_value(F.when(F.col("block") == F.col(c), F.col("hs")), F.lit(True))
+    both = sent.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").agg(side("i").alias("a"), side("j").alias("b"))
+    return both.where("a is not null and b is not null").mapInArrow(run, schema)
+
+
+def _two_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The fingerprints of each row's blocks; the second is None where both are one."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            a, b = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in "ab")
+            yield a, None if batch.column("i")[r].as_py() == batch.column("j")[r].as_py() else b
+
+
+def _close_pairs(most: int):
+    """For _compared: h1, h2, distance of all close pairs."""
+
+    def given(found: list[tuple]) -> pa.RecordBatch:
+        one, two, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(gap)], ["h1", "h2", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _two_blocks(batches):
+            found, n = [], 0
+            for x, y, gap in bits.close(a, b, most):
+                found.append((a[x], (a if b is None else b)[y], gap))
+                n += len(x)
+                if n >= GIVEN:
+                    yield given(found)
+                    found, n = [], 0
+            if found:
+                yield given(found)
+
+    return run
+
+
 def wide_pairs(distinct: DataFrame, most: int, n_bits: int) -> DataFrame:
     """fingerprint_pairs for arrays of longs, n_bits in all: a pair within the distance is equal in one of most + 1 bands.
 

@@ -108,6 +108,41 @@ def test_wide_fingerprints_group_alike(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 10: 0, 11: 1, 12: 2}
 
 
+def made(spark, run) -> int:
+    """The most rows that a step of what run does makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most, seen = 0, store.executionsList()
+    for k in range(before, seen.size()):
+        one = seen.apply(k)
+        names = {one.metrics().apply(m).accumulatorId() for m in range(one.metrics().size()) if one.metrics().apply(m).name() == "number of output rows"}
+        values = store.executionMetrics(one.executionId())
+        most = max([most, *(int(values.apply(m).split("(")[0].replace(",", "").strip()) for m in names if values.contains(m))])
+    return most
+
+
+def test_wide_distances_meet_no_more_than_is_close(spark):
+    rng = np.random.default_rng(1)
+    hashes = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 9000)]  # three blocks
+    hashes += [hashes[k] ^ 1 for k in range(5)] + hashes[:5]
+    df = spark.createDataFrame(list(enumerate(hashes)), "file_idx long, fingerprint long")
+    rows = []
+    most = made(spark, lambda: rows.extend(grouping.hamming_pairs(df, 16).collect()))
+    h, want = np.array(hashes).view(np.uint64), set()
+    for k in range(len(h)):
+        gaps = np.bitwise_count(h[k] ^ h[k + 1 :])
+        want |= {(k, k + 1 + int(j), int(gaps[j])) for j in np.flatnonzero(gaps <= 16)}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert most < 3 * len(want) + 3 * len(h)  # bands file 100 rows a fingerprint and meet half of all pairs
+
+
+def test_blocks_where_bands_meet_too_many():
+    assert grouping.in_blocks(50_000, 18) and grouping.in_blocks(10**7, 18)
+    assert not grouping.in_blocks(50_000, 3) and not grouping.in_blocks(10**6, 4)
+
+
 def test_ranks(spark):
     rows = [(0, 0, 5.0), (1, 0, 9.0), (2, 0, 9.0), (3, None, 1.0), (4, 0, None), (5, None, None)]
     ranked = rating.rank_in_groups(spark.createDataFrame(rows, "file_idx long, group_id int, s double"), F.col("s")).collect()
