@@ -101,13 +101,14 @@ def pictures(spark, sf, broken: Column | None = None) -> DataFrame:
     size = lambda n: F.when(bad, F.lit(-1)).otherwise(F.lit(n))
     image = F.struct(size(HIGH).alias("height"), size(WIDE).alias("width"), F.lit(3).alias("nChannels"), F.when(bad, F.lit(b"")).otherwise(bytes_).alias("data"))
     key = F.concat(F.lit(BUILT), F.col("vec_id").cast("string"), F.lit("-0.png"))
-    return table(spark, sf, "embeddings").withColumn("_level", level).select(key.alias("key"), image.alias("image"))
+    rows = table(spark, sf, "embeddings").repartition(2 * spark.sparkContext.defaultParallelism)  # a small file is one task, and pictures take long
+    return rows.withColumn("_level", level).select(key.alias("key"), image.alias("image"))
 
 
-def measured(spark, sf, broken: Column | None = None) -> DataFrame:
-    """vec_id and what measuring its picture gives."""
+def measured(spark, sf, *wanted: str) -> DataFrame:
+    """vec_id and the wanted figures of its picture."""
     ship(spark)
-    return images.measure(pictures(spark, sf, broken), BUILT, MEASURING).withColumn("vec_id", F.regexp_extract("key", r"(\d+)-0", 1).cast("long"))
+    return images.measure(pictures(spark, sf), BUILT, MEASURING, wanted).withColumn("vec_id", F.regexp_extract("key", r"(\d+)-0", 1).cast("long"))
 
 
 _L = "list_transform(range(0, 72), lambda i: least(floor(greatest((embedding[i % 64 + 1]::DOUBLE + 0.5) * 51, 0)), 51)::BIGINT)"
@@ -120,7 +121,7 @@ _PICTURES = f"(SELECT vec_id, label, {_L} AS l FROM embeddings)"
 def frame_tiles(spark, sf):
     """Luma, Laplacian and tile grid: each tile of so small a picture is one response, told in steps of levels."""
     steps = F.transform("tiles", lambda x: F.round(x.cast("double") * 51 / 100).cast("long"))
-    rows = measured(spark, sf).select("vec_id", "tile_rows", "tile_cols", steps.alias("t"))
+    rows = measured(spark, sf, "tiles").select("vec_id", "tile_rows", "tile_cols", steps.alias("t"))
     return rows.select("vec_id", "tile_rows", "tile_cols", F.array_max("t").alias("peak"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), (F.array_position("t", F.array_max("t")) - 1).alias("first"))
 
 
@@ -130,7 +131,7 @@ def frame_exposure(spark, sf):
     """Clipped pixels, sum, range (in thousandths) and deviation of luma, in steps of levels."""
     n = WIDE * HIGH
     count = lambda c, k: F.round(F.col(c) * k).cast("long")
-    return measured(spark, sf).select(
+    return measured(spark, sf, *images.LIGHT).select(
         "vec_id", count("highlight_clipped", n).alias("high"), count("shadow_clipped", n).alias("low"), count("mean_luma", 51 * n).alias("total"), count("dynamic_range", 51_000).alias("range"), F.round(F.col("contrast") * 51, 2).alias("contrast"),
     )
 
@@ -142,13 +143,13 @@ _GY = "CASE WHEN k < 9 THEN 2 * (l[k + 10] - l[k + 1]) WHEN k >= 63 THEN 2 * (l[
 @query(f"""SELECT vec_id, sum(x * x)::BIGINT AS jxx, sum(y * y)::BIGINT AS jyy, sum(x * y)::BIGINT AS jxy FROM (SELECT vec_id, unnest(list_transform(range(0, 72), lambda k: {_GX})) AS x, unnest(list_transform(range(0, 72), lambda k: {_GY})) AS y FROM {_PICTURES}) GROUP BY vec_id""")
 def frame_structure(spark, sf):
     """The structure tensor: sums of squared half steps of levels."""
-    return measured(spark, sf).select("vec_id", *[F.round(F.col(x) * (51 * 51 * 4 * WIDE * HIGH)).cast("long").alias(x) for x in ("jxx", "jyy", "jxy")])
+    return measured(spark, sf, "jxx", "jyy", "jxy").select("vec_id", *[F.round(F.col(x) * (51 * 51 * 4 * WIDE * HIGH)).cast("long").alias(x) for x in ("jxx", "jyy", "jxy")])
 
 
 @query()
 def frame_salience(spark, sf):
     """The salient box: a spectrum of the whole picture, which SQL has no way to say; kernels are tested against numpy of their own."""
-    return measured(spark, sf).select("vec_id", *[F.round(f"salient.{x}", 6).alias(x) for x in "xywh"])
+    return measured(spark, sf, "salient").select("vec_id", *[F.round(f"salient.{x}", 6).alias(x) for x in "xywh"])
 
 
 # --- fingerprints and groups ------------------------------------------------------
@@ -165,7 +166,7 @@ g AS (SELECT vec_id, dense_rank() OVER (ORDER BY root) - 1 AS group_id FROM c)""
 
 
 def hashed(spark, sf) -> DataFrame:
-    return measured(spark, sf).select("vec_id", F.col("fingerprint")[0].alias("fingerprint"))
+    return measured(spark, sf, "fingerprint").select("vec_id", F.col("fingerprint")[0].alias("fingerprint"))
 
 
 @query(f"WITH {_H} SELECT vec_id, h AS fingerprint FROM h")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -37,7 +37,9 @@ MEASURED = (
     "highlight_clipped double, shadow_clipped double, dynamic_range double, mean_luma double, contrast double, "
     "salient struct<x:double,y:double,w:double,h:double>, fingerprint array<bigint>, thumbnail binary, error string"
 )
-
+LIGHT = ("highlight_clipped", "shadow_clipped", "dynamic_range", "mean_luma", "contrast")
+#: Results of a task that are given back at once: so many, or of so many bytes.
+GIVEN_ROWS, GIVEN_BYTES = 200, 4_000_000
 
 UNDECODED = "the image would not decode"
 
@@ -147,27 +149,47 @@ def _orientation(key: str, previews: str) -> int | None:
         source.close()
 
 
-def measure(images: DataFrame, previews: str, config: Config) -> DataFrame:
-    """images: key, image (of Spark's source; of no size if it couldn't be decoded). One row each, MEASURED."""
+def kernels(config: Config) -> list[tuple]:
+    """Columns of MEASURED, and what gives them for a frame and its luma."""
     c = config
 
-    def one(row: dict) -> dict:
-        rgb = pixels.orient(pixels.from_spark_image(row["height"], row["width"], row["channels"], row["data"]), _orientation(row["key"], previews))
-        y = pixels.luma(rgb, c.input.working_edge)
+    def grid(rgb, y) -> tuple:
         tiles = pixels.tile_map(y, c.sharpness.grid_long_edge)
-        jxx, jyy, jxy = pixels.structure_tensor(y)
+        return (*tiles.shape, tiles.ravel().tolist())
+
+    def salient(rgb, y) -> tuple:
         box = pixels.saliency_box(y)
-        return pixels.exposure(y, c.exposure.percentile) | {
-            "frame_width": row["width"], "frame_height": row["height"], "tile_rows": tiles.shape[0], "tile_cols": tiles.shape[1], "tiles": tiles.ravel().tolist(),
-            "jxx": jxx, "jyy": jyy, "jxy": jxy, "salient": dict(zip("xywh", box, strict=True)) if box else None,
-            "fingerprint": pixels.difference_hash(y, c.grouping.hash_size) if c.grouping.enabled else None, "thumbnail": pixels.thumbnail(rgb, c.input.thumbnail_edge),
-        }
+        return (dict(zip("xywh", box, strict=True)) if box else None,)
+
+    return [
+        (LIGHT, lambda rgb, y: [pixels.exposure(y, c.exposure.percentile)[k] for k in LIGHT]), (("tile_rows", "tile_cols", "tiles"), grid),
+        (("jxx", "jyy", "jxy"), lambda rgb, y: pixels.structure_tensor(y)), (("salient",), salient),
+        (("fingerprint",), lambda rgb, y: (pixels.difference_hash(y, c.grouping.hash_size) if c.grouping.enabled else None,)),
+        (("thumbnail",), lambda rgb, y: (pixels.thumbnail(rgb, c.input.thumbnail_edge),)),
+    ]
+
+
+def measure(images: DataFrame, previews: str, config: Config, wanted: Sequence[str] | None = None) -> DataFrame:
+    """images: key, image (of Spark's source; of no size if it couldn't be decoded). One row each, MEASURED.
+
+    Figures of which nothing is wanted are left null: by default the salient box, where no detector of config asks for it.
+    """
+    use = [(names, f) for names, f in kernels(config) if (set(names) & set(wanted) if wanted is not None else names != ("salient",) or "saliency" in config.subject.detectors)]
+
+    def one(row: dict) -> dict:
+        rgb = pixels.orient(pixels.from_spark_image(row["height"], row["width"], row["channels"], row["data"]), _orientation(row["key"], previews))
+        y = pixels.luma(rgb, config.input.working_edge)
+        out = {"frame_width": row["width"], "frame_height": row["height"]}
+        for names, f in use:
+            out |= zip(names, f(rgb, y), strict=True)
+        return out
 
     schema = _schema(MEASURED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, held = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):  # a frame at a time: memory is one frame's and its batch's (64 MB)
+            for i in range(batch.num_rows):  # a frame at a time: memory is one frame's, its batch's (64 MB) and that of a few results
                 row = batch.slice(i, 1).to_pylist()[0]
                 out = {"key": row["key"]}
                 if not row["data"] or not row["width"] or row["width"] <= 0:
@@ -177,7 +199,13 @@ def measure(images: DataFrame, previews: str, config: Config) -> DataFrame:
                         out |= one(row)
                     except Exception as error:
                         out["error"] = f"unexpected failure: {error!r}"
-                yield pa.RecordBatch.from_pylist([out], schema=schema)
+                done.append(out)
+                held += len(out.get("thumbnail") or b"") + 8 * len(out.get("tiles") or ())
+                if len(done) >= GIVEN_ROWS or held >= GIVEN_BYTES:
+                    yield pa.RecordBatch.from_pylist(done, schema=schema)
+                    done, held = [], 0
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
 
     flat = images.select("key", F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return flat.mapInArrow(run, MEASURED)

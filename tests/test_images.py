@@ -215,3 +215,15 @@ def test_hash_sizes_and_time_gaps(spark, tmp_path):
     assert group() == [0, 0, 0, 0] and group(grouping__hash_size=12) == [0, 0, 0, 0] and group(grouping__enabled=False) == [None] * 4
     (tmp_path / "d.jpg").unlink()
     assert group(grouping__max_time_gap_seconds=60) == [0, 1, 1]
+
+
+def test_only_wanted_figures_are_taken(spark, monkeypatch):
+    from sharpsieve.plans import queries
+
+    data = spark.createDataFrame([(k, [x / 100 for x in range(k, k + 64)], k % 10) for k in range(30)], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(queries, "table", lambda *_: data)
+    assert queries.pictures(spark, "").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # whatever files there are
+    rows = queries.measured(spark, "", "fingerprint").collect()
+    assert len(rows) == 30 and all(r.fingerprint and r.error is None and r.frame_width == 9 and r.tiles is r.salient is r.contrast is r.thumbnail is None for r in rows)
+    whole = queries.run_of_pictures(spark, "").collect()
+    assert len(whole) == 30 and {r.error is None for r in whole if r.file_idx % 10 != 9} == {True}
