@@ -106,6 +106,14 @@ def fingerprint_pairs(distinct: DataFrame, most: int, *, n_bits: int = 64, bands
     return met.select("h1", "h2", gap.alias("distance")).distinct()
 
 
+def fingerprint_links(distinct: DataFrame, most: int, *, n_bits: int = 64) -> DataFrame:
+    """h1, h2: pairs of the distinct column h whose components are those of all pairs within the distance; each two blocks give a tree of theirs instead of all pairs."""
+    n = max(distinct.count(), 1)
+    if in_blocks(n, most, n_bits):
+        return _compared(distinct, n, _trees(most), "h1 bigint, h2 bigint")
+    return fingerprint_pairs(distinct, most, n_bits=n_bits, bands=best_bands(n, most, n_bits)).select("h1", "h2")
+
+
 def _filed_under(band: int, part: Column):
     return lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("key"))
 
@@ -152,6 +160,28 @@ def _close_pairs(most: int):
     return run
 
 
+def _trees(most: int):
+    """For _compared: h1, h2, the smallest fingerprint of a component of two blocks and each other one of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _two_blocks(batches):
+            nodes = np.sort(a if b is None else np.concatenate((a, b)))
+            places = [np.searchsorted(nodes, x) for x in (a, a if b is None else b)]
+            forest, found, n = bits.Forest(len(nodes)), [], 0
+            for x, y, _ in bits.close(a, b, most):
+                found.append((places[0][x], places[1][y]))
+                n += len(x)
+                if n >= GIVEN:
+                    forest.join(*map(np.concatenate, zip(*found, strict=True)))
+                    found, n = [], 0
+            if found:
+                forest.join(*map(np.concatenate, zip(*found, strict=True)))
+            below = np.flatnonzero(forest.root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[forest.root[below]]), pa.array(nodes[below])], ["h1", "h2"])
+
+    return run
+
+
 def wide_pairs(distinct: DataFrame, most: int, n_bits: int) -> DataFrame:
     """fingerprint_pairs for arrays of longs, n_bits in all: a pair within the distance is equal in one of most + 1 bands.
 
@@ -196,7 +226,8 @@ def group_by_similarity(
     nodes = scratch.write(rows.groupBy("h", "cell").agg(F.min("id").alias("node"), F.min("t").alias("first"), F.max("t").alias("last")), "nodes")
     distinct = nodes.select("h").distinct()
     wide = rows.schema["h"].dataType.simpleString().startswith("array")
-    close = scratch.write((wide_pairs if wide else fingerprint_pairs)(distinct, max_distance, n_bits=n_bits).select("h1", "h2"), "close")
+    pairs = wide_pairs if wide else fingerprint_pairs if timed else fingerprint_links  # a link that a time gap breaks can't stand for others
+    close = scratch.write(pairs(distinct, max_distance, n_bits=n_bits).select("h1", "h2"), "close")
     if timed:
         close = close.union(distinct.select(F.col("h").alias("h1"), F.col("h").alias("h2")))  # a fingerprint's own spans
     one, two = (nodes.select(*(F.col(x).alias(f"{x}{n}") for x in ("h", "cell", "node", "first", "last"))) for n in (1, 2))
@@ -207,11 +238,13 @@ def group_by_similarity(
         near = near.where((F.col("first2") - F.col("last1") <= max_gap) & (F.col("first1") - F.col("last2") <= max_gap)).select("node1", "node2")
         untimed = with_one.where("cell1 is null").join(two, "h2").select("node1", "node2")
         other = close.join(two.where("cell2 is null"), "h2").join(one, "h1").select("node1", "node2")
-        edges = near.union(untimed).union(other)
-    else:
-        edges = close.join(one, "h1").join(two, "h2").select("node1", "node2")
-    roots = components(edges.select(F.col("node1").alias("a"), F.col("node2").alias("b")), scratch).withColumnRenamed("node", "_node")
-    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("h", "cell", F.coalesce("root", "node").alias("root"))
+        edges = near.union(untimed).union(other).select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+        roots = components(edges, scratch).withColumnRenamed("node", "_node")
+        named = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("h", "cell", F.coalesce("root", "node").alias("root"))
+    else:  # a node is a fingerprint
+        roots = components(close.select(F.col("h1").alias("a"), F.col("h2").alias("b")), scratch).select(F.col("node").alias("_h"), F.col("root").alias("_root"))
+        linked = scratch.write(nodes.join(roots, F.col("h") == F.col("_h"), "left").select("h", "cell", "node", F.coalesce("_root", "h").alias("_root")), "linked")
+        named = linked.join(linked.groupBy("_root").agg(F.min("node").alias("root")), "_root").select("h", "cell", "root")
     named = scratch.write(named, "named")
     ids = dense_ids(named.select("root").distinct())
     of = named.join(ids, "root").select(F.col("h").alias("_h"), F.col("cell").alias("_cell"), "group_id")

@@ -138,6 +138,30 @@ def test_wide_distances_meet_no_more_than_is_close(spark):
     assert most < 3 * len(want) + 3 * len(h)  # bands file 100 rows a fingerprint and meet half of all pairs
 
 
+def test_groups_of_wide_distances_take_trees(spark):
+    rng = np.random.default_rng(2)
+    centres = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 40)]
+    flips = lambda: sum(1 << int(b) for b in rng.choice(62, 6, replace=False))
+    hashes = [centres[k % 40] ^ flips() for k in range(5000)] + centres[:3]
+    df = spark.createDataFrame([(7 * k % 5003, h) for k, h in enumerate(hashes)], "file_idx long, fingerprint long")
+    rows = []
+    most = made(spark, lambda: rows.extend(grouping.group_by_similarity(df, max_distance=12).collect()))
+    h, left, want = np.array(hashes).view(np.uint64), set(range(5003)), []
+    while left:
+        part, new = set(), {left.pop()}
+        while new:
+            part |= new
+            near = np.zeros(5003, bool)
+            for k in new:
+                near |= np.bitwise_count(h[k] ^ h) <= 12
+            new = set(np.flatnonzero(near).tolist()) - part
+        left -= part
+        want.append(sorted(7 * k % 5003 for k in part))
+    assert len(want) > 1
+    assert {r.file_idx: r.group_id for r in rows} == {i: g for g, part in enumerate(sorted(want)) for i in part}
+    assert most < 10 * len(hashes)  # of about 310,000 pairs within groups
+
+
 def test_blocks_where_bands_meet_too_many():
     assert grouping.in_blocks(50_000, 18) and grouping.in_blocks(10**7, 18)
     assert not grouping.in_blocks(50_000, 3) and not grouping.in_blocks(10**6, 4)
