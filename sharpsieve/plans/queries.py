@@ -183,6 +183,7 @@ def hamming_pairs(spark, sf):
 SELECT p.* FROM p LEFT JOIN t x ON x.event_id = a LEFT JOIN t y ON y.event_id = b WHERE NOT coalesce(abs(x.t - y.t) > 86400 * 3, false)""")
 def hamming_pairs_time_gap(spark, sf):
     times = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    times = times.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("event_id")), "event_id", "left_semi")  # pairs are many: they meet the times of frames alone
     pairs = grouping.hamming_pairs(hashed(spark, sf), DISTANCE, id_col="vec_id")
     for side in "ab":
         pairs = pairs.join(times.select(F.col("event_id").alias(f"e{side}"), F.col("t").alias(f"t{side}")), F.col(side) == F.col(f"e{side}"), "left")

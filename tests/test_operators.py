@@ -5,7 +5,7 @@ import json
 import duckdb
 import numpy as np
 import pytest
-from helpers import smooth, texture, write_png
+from helpers import made, smooth, texture, write_png
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -108,21 +108,6 @@ def test_wide_fingerprints_group_alike(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 10: 0, 11: 1, 12: 2}
 
 
-def made(spark, run) -> int:
-    """The most rows that a step of what run does makes."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
-    run()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    most, seen = 0, store.executionsList()
-    for k in range(before, seen.size()):
-        one = seen.apply(k)
-        names = {one.metrics().apply(m).accumulatorId() for m in range(one.metrics().size()) if one.metrics().apply(m).name() == "number of output rows"}
-        values = store.executionMetrics(one.executionId())
-        most = max([most, *(int(values.apply(m).split("(")[0].replace(",", "").strip()) for m in names if values.contains(m))])
-    return most
-
-
 def test_wide_distances_meet_no_more_than_is_close(spark):
     rng = np.random.default_rng(1)
     hashes = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 9000)]  # three blocks
