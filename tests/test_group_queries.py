@@ -9,6 +9,7 @@ from sharpsieve.plans import queries
 N = 1500
 GROUPS = [
     "hamming_pairs_time_gap",
+    "failed_frames",
 ]
 
 
