@@ -10,6 +10,7 @@ N = 1500
 GROUPS = [
     "hamming_pairs_time_gap",
     "failed_frames",
+    "run_groups_and_ratings",
 ]
 
 
