@@ -11,6 +11,7 @@ GROUPS = [
     "hamming_pairs_time_gap",
     "failed_frames",
     "run_groups_and_ratings",
+    "group_rank_best",
 ]
 
 
