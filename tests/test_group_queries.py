@@ -12,6 +12,7 @@ GROUPS = [
     "failed_frames",
     "run_groups_and_ratings",
     "group_rank_best",
+    "count_by_source",
 ]
 
 
