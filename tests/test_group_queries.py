@@ -13,6 +13,7 @@ GROUPS = [
     "run_groups_and_ratings",
     "group_rank_best",
     "count_by_source",
+    "count_by_rating",
 ]
 
 
