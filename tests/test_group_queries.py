@@ -14,6 +14,7 @@ GROUPS = [
     "group_rank_best",
     "count_by_source",
     "count_by_rating",
+    "csv_flat_projection",
 ]
 
 
