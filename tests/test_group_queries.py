@@ -15,6 +15,7 @@ GROUPS = [
     "count_by_source",
     "count_by_rating",
     "csv_flat_projection",
+    "keepers",
 ]
 
 
