@@ -16,6 +16,7 @@ GROUPS = [
     "count_by_rating",
     "csv_flat_projection",
     "keepers",
+    "rule_ladder_default",
 ]
 
 
