@@ -17,6 +17,7 @@ GROUPS = [
     "csv_flat_projection",
     "keepers",
     "rule_ladder_default",
+    "run_summary",
 ]
 
 
