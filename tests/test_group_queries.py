@@ -18,6 +18,7 @@ GROUPS = [
     "keepers",
     "rule_ladder_default",
     "run_summary",
+    "detector_sources",
 ]
 
 
