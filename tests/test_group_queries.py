@@ -19,6 +19,7 @@ GROUPS = [
     "rule_ladder_default",
     "run_summary",
     "detector_sources",
+    "rejects",
 ]
 
 
