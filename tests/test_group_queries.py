@@ -20,6 +20,7 @@ GROUPS = [
     "run_summary",
     "detector_sources",
     "rejects",
+    "sheet_filter_sort",
 ]
 
 
